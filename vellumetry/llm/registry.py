@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from vellumetry.llm.bpe import op9_byte_bpe
+from vellumetry.llm.divergence import op2_divergence
+from vellumetry.llm.sharding import op1_reshard
 from vellumetry.llm.token_files import op7_token_files
+from vellumetry.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_reshard": op1_reshard,
+    "op2_divergence": op2_divergence,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_warc": OP10_SQL}
