@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vellumetry.llm.bpe import op9_byte_bpe
 from vellumetry.llm.divergence import op2_divergence
+from vellumetry.llm.mixing import OP8_SQL, op8_mixing
 from vellumetry.llm.sharding import op1_reshard
 from vellumetry.llm.token_files import op7_token_files
 from vellumetry.llm.warc import OP10_SQL, op10_warc
@@ -12,8 +13,9 @@ QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_divergence": op2_divergence,
     "op7_token_files": op7_token_files,
+    "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op8_mixing": OP8_SQL, "op10_warc": OP10_SQL}
