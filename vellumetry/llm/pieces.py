@@ -17,17 +17,19 @@ class PieceEncoder:
     """Encodes batches of texts to little-endian ids.
 
     ``encode_many`` turns a list of strings into a list of id lists and defines
-    the result. The memo holds at most ``limit`` pieces of up to ``longest``
+    the result; ``encode_pieces`` does so for pieces that each follow a space,
+    if there is a faster way for them. The memo holds at most ``limit`` pieces of up to ``longest``
     characters; when it is full it starts anew, so memory is bounded.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], dtype: str = "<u4", limit: int = 400_000, longest: int = 48):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable], dtype: str = "<u4", limit: int = 600_000, longest: int = 48, encode_pieces: Callable[[list[str]], Iterable] | None = None):
         self.encode_many, self.dtype, self.limit, self.longest = encode_many, dtype, limit, longest
+        self.encode_pieces = encode_pieces or (lambda pieces: encode_many([" " + p for p in pieces]))
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(ids, self.dtype).tobytes() for ids in self.encode_many(texts)]
+    def _bytes(self, coded: Iterable) -> list[bytes]:
+        return [np.asarray(ids, self.dtype).tobytes() for ids in coded]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         inner, first = self.inner, self.first
@@ -44,7 +46,7 @@ class PieceEncoder:
         new_inner -= inner.keys()
         if new_first:
             new_first = sorted(new_first)
-            first.update(zip(new_first, self._bytes(new_first)))
+            first.update(zip(new_first, self._bytes(self.encode_many(new_first))))
         safe = []
         for p in new_inner:
             if p == "" or p[0].isspace() or p[-1].isspace():
@@ -53,7 +55,7 @@ class PieceEncoder:
                 safe.append(p)
         if safe:
             safe.sort()
-            inner.update(zip(safe, self._bytes([" " + p for p in safe])))
+            inner.update(zip(safe, self._bytes(self.encode_pieces(safe))))
         out, whole = [], []
         for i, pieces in enumerate(cut):
             head = pieces[0]
@@ -64,7 +66,7 @@ class PieceEncoder:
             else:
                 out.append(first[head] + b"".join(got))
         if whole:
-            for i, b in zip(whole, self._bytes([texts[i] for i in whole])):
+            for i, b in zip(whole, self._bytes(self.encode_many([texts[i] for i in whole]))):
                 out[i] = b
         for memo, new in ((first, new_first), (inner, new_inner)):
             for p in new:

@@ -25,6 +25,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from vellumetry.llm.common import AtomicFile, read_file, read_table, work_dir
 from vellumetry.llm.pieces import PieceEncoder
 
 END_ID = 2
+#: Documents encoded at a time; bounds the memory of their pieces.
+CHUNK = 512
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
@@ -45,10 +48,34 @@ def library_encoder(path: str, dtype: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _encoders[path, dtype] = PieceEncoder(lambda texts: (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)), dtype)
+        lengths = _byte_lengths(tok)
+
+        def encode_many(texts: list[str]):
+            return (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))
+
+        def encode_pieces(pieces: list[str]) -> list[np.ndarray]:
+            """All pieces as one text, cut where the ids' bytes add up to a piece."""
+            ids = np.asarray(next(iter(encode_many([" " + " ".join(pieces)]))))
+            ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+            covered = np.cumsum(lengths[ids])
+            at = np.searchsorted(covered, ends) + 1
+            if not np.array_equal(covered[at - 1], ends):
+                raise ValueError("a token crosses the space between two pieces")
+            return np.split(ids, at[:-1])
+
+        _encoders[path, dtype] = PieceEncoder(encode_many, dtype, encode_pieces=encode_pieces)
     return _encoders[path, dtype]
 
 
+def _byte_lengths(tok) -> np.ndarray:
+    """UTF-8 bytes of each id: a byte-level token has a character a byte; special tokens are plain text."""
+    out = np.zeros(tok.get_vocab_size(True), "i8")
+    special = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
+    for token, i in tok.get_vocab(True).items():
+        out[i] = len(special[i].encode()) if i in special else len(token)
+    return out
+
+
 def id_type(path: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
@@ -85,8 +112,9 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
             return
 
         def rest():
-            yield first
-            yield from batches
+            for b in chain([first], batches):
+                for lo in range(0, b.num_rows, CHUNK):
+                    yield b.slice(lo, CHUNK)
 
         names = [f"part-{part:06d}.{x}" for x in ("bin", "off", "doc", "nul")]
         with AtomicFile(folder, names[0]) as bin_, AtomicFile(folder, names[1]) as off, AtomicFile(folder, names[2]) as doc, AtomicFile(folder, names[3]) as nul:
