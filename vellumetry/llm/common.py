@@ -106,3 +106,17 @@ def n_words(text: Column) -> Column:
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int, spread: Column, how: str = "inner") -> DataFrame:
+    """Equi-join in which a key's rows of ``left`` are dealt into ``salts`` parts.
+
+    ``right`` has at most one row a key and is repeated ``salts`` times;
+    ``spread`` is what deals rows that share a key. Null keys match nothing.
+    """
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    r = right.withColumnsRenamed({c: f"__r_{c}" for c in on}).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = F.col("__salt") == F.col("__s")
+    for c in on:
+        match = match & (F.col(c) == F.col(f"__r_{c}"))
+    return l.join(r, match, how).drop("__salt", "__s", *(f"__r_{c}" for c in on))
