@@ -54,26 +54,41 @@ def random_key(doc_id: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(df: DataFrame, weights: tuple = WEIGHTS, *, most: int = MOST_EPOCHS, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+def _placed(df: DataFrame, weights: tuple, most: int, seed: int, doc_id: str, text: str, source: str, carried: list[str]) -> DataFrame:
+    """The carried columns with __id, __size, __source_size, __target and __taken."""
     spark = df.sparkSession
-    base = materialise(df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), random_key(F.col(doc_id), seed).alias("key")), "mix")
-    per_source = [(r.source, r.size, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
+    own = {"__id": F.col(doc_id), "__source": F.col(source).cast("string"), "__size": n_words(F.col(text)), "__key": random_key(F.col(doc_id), seed)}
+    light = materialise(df.select(*(c.alias(k) for k, c in own.items())), "mix")
+    per_source = [(r["__source"], r["size"], r["n"]) for r in light.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()]
     buckets = max(1, sum(r[2] for r in per_source) // BUCKET_ROWS)
-    plan = spark.createDataFrame(targets([r[:2] for r in per_source], weights, most), "source string, source_size long, target double").withColumnRenamed("source", "s")
-    base = base.withColumn("bucket", F.floor(F.col("key") / F.lit(KEYS / buckets)).cast("long"))
-
-    totals = base.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
-    before = F.sum("total").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.withColumn("start", F.coalesce(before, F.lit(0))).drop("total").join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnsRenamed({"source": "s", "bucket": "b"})
-
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
-    rows = base.withColumn("within", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    cut = F.col("target") - epochs * F.col("source_size")
-    last = F.when(F.col("start") + F.col("within") + F.col("size") / 2 < cut, F.col("size")).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
+    bucket = F.floor(F.col("__key") / F.lit(KEYS / buckets)).cast("long")
+    plan = spark.createDataFrame(targets([r[:2] for r in per_source], weights, most), "s string, __source_size long, __target double")
+
+    totals = light.withColumn("__bucket", bucket).groupBy("__source", "__bucket").agg(F.sum("__size").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.withColumn("__start", F.coalesce(before, F.lit(0))).drop("total").join(plan, F.col("__source").eqNullSafe(F.col("s"))).drop("s").withColumnsRenamed({"__source": "s", "__bucket": "b"})
+
+    rows = light if not carried else df.select(*(F.col(f"`{c}`") for c in carried), *(c.alias(k) for k, c in own.items()))
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__key", F.col("__id").asc_nulls_first(), "__size")
+    rows = rows.withColumn("__bucket", bucket).withColumn("__within", F.coalesce(F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(starts, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("b")))
+    epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0).cast("long")
+    cut = F.col("__target") - epochs * F.col("__source_size")
+    last = F.when(F.col("__start") + F.col("__within") + F.col("__size") / 2 < cut, F.col("__size")).otherwise(F.lit(0))
+    return rows.withColumn("__taken", epochs * F.col("__size") + last)
+
+
+def mix(df: DataFrame, weights: tuple = WEIGHTS, *, most: int = MOST_EPOCHS, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
+    rows = _placed(df, weights, most, seed, doc_id, text, source, [])
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, weights: tuple = WEIGHTS, *, most: int = MOST_EPOCHS, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each document with all its columns, as often as it is taken."""
+    rows = _placed(df, weights, most, seed, doc_id, text, source, df.columns)
+    times = F.coalesce(F.try_divide("__taken", "__size"), F.lit(0)).cast("int")
+    return rows.where("__taken > 0").withColumn("__nth", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

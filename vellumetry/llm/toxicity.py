@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumetry.llm.common import read_table, utf8
 
@@ -377,7 +378,7 @@ def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str =
     """``df`` with ``score``; a column of that name is replaced."""
     df = df.drop("score")
     at = df.columns.index(text)
-    schema = df.schema.add("score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(m, p)
