@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from vellumetry.operators import association as A
 from vellumetry.operators import columns as C
 from vellumetry.operators import outliers
+from vellumetry.operators.duplicates import duplicate_columns
 from vellumetry.operators.profile import TableProfile
 
 #: Names of identifiers, of the recommender and of the insights.
@@ -65,7 +66,10 @@ class FeatureRecommender:
 
     def _drops(self, p: TableProfile, target: str | None) -> list[dict]:
         reasons = [(c, self._why_drop(p, c)) for c in p.columns if c != target]
-        copies = [(b, f"Duplicate of column '{a}'.") for a, b in p.duplicate_columns if target not in (a, b)]
+        pairs = p.duplicate_columns
+        if any(target in pair for pair in pairs):  # the target's copies are copies of each other
+            pairs = duplicate_columns(p.df, [c for c in p.columns if c != target])
+        copies = [(b, f"Duplicate of column '{a}'.") for a, b in pairs]
         return [{"column": c, "reason": why} for c, why in reasons + copies if why]
 
     def _encoding(self, p: TableProfile, c: str, target: str | None) -> dict:

@@ -27,7 +27,7 @@ def _column(ref: str) -> int:
 def _date(serial: float) -> str:
     moment = dt.datetime(1899, 12, 30) + dt.timedelta(days=serial)
     moment = (moment + dt.timedelta(microseconds=500_000)).replace(microsecond=0)
-    return moment.date().isoformat() if not moment.time() else moment.isoformat(sep=" ")
+    return moment.date().isoformat() if moment.time() == dt.time() else moment.isoformat(sep=" ")
 
 
 def _date_styles(z: zipfile.ZipFile) -> set[int]:
