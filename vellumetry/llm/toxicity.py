@@ -133,10 +133,13 @@ def initial(p: Params) -> dict[str, np.ndarray]:
 
 def embed(m: dict, slots: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Inputs of words given their slots and, one after the other, their trigrams' up to each end."""
-    if not len(slots):
-        return np.zeros((0, m["chars"].shape[1]), "f4")
+    out = np.empty((len(slots), m["chars"].shape[1]), "f4")
     first = np.append(0, ends[:-1])
-    return m["words"][slots] + np.add.reduceat(m["chars"][grams], first, axis=0) / (ends - first)[:, None]
+    for lo in range(0, len(slots), 1 << 14):  # bounds the memory that the trigrams take
+        a, z = first[lo : lo + (1 << 14)], ends[lo : lo + (1 << 14)]
+        mean = np.add.reduceat(m["chars"][grams[a[0] : z[-1]]], a - a[0], axis=0) / (z - a)[:, None]
+        out[lo : lo + len(a)] = m["words"][slots[lo : lo + len(a)]] + mean
+    return out
 
 
 def forward(m: dict, xw: np.ndarray, mask: np.ndarray, keep: bool = False):
