@@ -5,6 +5,7 @@ import pytest
 from vellumetry.operators import association as A
 from vellumetry.operators import correlation as K
 from vellumetry.operators import outliers as O
+from vellumetry.operators.ranks import exact_quantiles, prefix_counts
 
 
 def test_iqr_and_zscore(spark):
@@ -99,3 +100,19 @@ def test_target_association_ranks_and_notes(spark):
     assert r["rankings"][0]["possible_leakage"] and "note" not in r
     assert "not supported" in A.target_association(df, "text", kinds)["note"]
     assert "Small sample" in A.target_association(df.limit(10), "y", kinds)["note"]
+
+
+def test_distributed_quantiles_equal_pandas(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=501), "b": rng.integers(0, 4, 501).astype(float), "c": [np.nan] * 500 + [3.0]})
+    got = {(r.name, r.q): r.value for r in exact_quantiles(spark.createDataFrame(pdf), ["a", "b", "c"]).collect()}
+    assert len(got) == 9 and all(abs(v - pdf[c].quantile(q)) < 1e-12 for (c, q), v in got.items())
+
+
+def test_prefix_counts_over_ranges(spark):
+    rows = [("x", float(i), i % 3 + 1) for i in range(1000)]
+    got = {r.v: r.before for r in prefix_counts(spark.createDataFrame(rows, "name string, v double, m long"), 7).collect()}
+    before = 0
+    for _, v, m in rows:
+        assert got[v] == before
+        before += m

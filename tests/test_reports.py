@@ -204,3 +204,12 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.sql("select * from windows order by start").collect()
     assert [(r.row_count, r.v_missing, r.v_mean) for r in rows] == [(2, 1, 1.0), (1, 0, 5.0)]
+
+
+def test_large_tables_have_the_same_profile(people, monkeypatch):
+    from vellumetry.operators import profile as P
+
+    small = P.TableProfile(people).numeric
+    monkeypatch.setattr(P, "LARGE", 1)
+    large = P.TableProfile(people).numeric
+    assert all(abs(small[c][k] - large[c][k]) < 1e-9 for c in small for k in ("q1", "median", "q3", "outliers"))

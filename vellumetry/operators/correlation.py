@@ -8,11 +8,11 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellumetry.functions import expressions as X
 from vellumetry.operators import columns as C
 from vellumetry.operators.duplicates import duplicate_columns
+from vellumetry.operators.ranks import average_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 #: Pairs of an aggregation; more columns take more passes, not a wider plan.
@@ -31,22 +31,9 @@ def _pair_table(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _average_ranks(df: DataFrame, i: int, j: int) -> DataFrame:
-    """Average ranks of a pair's complete rows, through the table of distinct values and counts.
-
-    Ranks are prefix sums of counts, so what is ordered is distinct values. They
-    are dealt to ranges first; only the ranges' totals meet in one task.
-    """
+    """Distinct complete pairs of two columns with counts and average ranks."""
     both = df.select(F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    both = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    for c in ("x", "y"):
-        freq = both.groupBy(c).agg(F.sum("n").alias("m"))
-        spread = freq.repartitionByRange(F.col(c)).withColumn("part", F.spark_partition_id())
-        totals = spread.groupBy("part").agg(F.sum("m").alias("t"))
-        starts = totals.withColumn("start", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("part").alias("p"), "start")
-        inside = F.coalesce(F.sum("m").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = spread.withColumn("within", inside).join(F.broadcast(starts), F.col("part") == F.col("p")).select(F.col(c).alias("v"), (F.col("start") + F.col("within") + (F.col("m") + 1) / 2).alias(f"rank_{c}"))
-        both = both.join(ranks, F.col(c) == F.col("v")).drop("v")
-    return both
+    return average_ranks(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _weighted_pearson(df: DataFrame, x: str, y: str):

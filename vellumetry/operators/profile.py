@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from vellumetry.functions import expressions as X
 from vellumetry.operators import columns as C
 from vellumetry.operators import duplicates, outliers
+from vellumetry.operators.ranks import exact_quantiles
+
+#: Tables of more rows get their quartiles by prefix sums, not from a count a value in one group.
+LARGE = 20_000_000
 
 
 @dataclass
@@ -66,7 +70,11 @@ class TableProfile:
         names = [c for c, k in self.kinds.items() if k == "numeric"]
         if not names:
             return {}
-        rows = {r.name: r.asDict() for r in C.numeric_summary(self.df, names).collect()}
+        large = self.n_rows > LARGE
+        rows = {r.name: r.asDict() for r in C.numeric_summary(self.df, names, approximate=large).collect()}
+        if large:
+            for r in exact_quantiles(self.df, names).collect():
+                rows[r.name][{0.25: "q1", 0.5: "median", 0.75: "q3"}[r.q]] = r.value
         for r in rows.values():
             spread = (r["q3"] or 0) - (r["q1"] or 0)
             r["bounds"] = (r["q1"] - 1.5 * spread, r["q3"] + 1.5 * spread) if r["count"] >= 4 and spread else (None, None)
