@@ -12,10 +12,13 @@ only up to the time by which all registers are filled.
 Registers are banded. Texts that share a band are candidates; candidates are
 verified on the exact multiset overlap. Exact copies are one node (by MD5).
 
-A bucket doesn't emit all its pairs. Every text is first compared with its
-bucket's least text. After the components of the verified links are known,
-only pairs of a bucket that lie in different components are compared, for
-others could not change a class. No pair is dropped by a cap.
+A bucket doesn't emit all its pairs. Every text is first compared with the
+bucket's ``leads``, the texts that meet most others. After the components of
+the verified links are known, only pairs of a bucket that lie in different
+components could change a class. Of those, pairs that cannot be similar enough
+are left out by exact bounds: two texts share at most as many shingles as
+either has in common with all texts that are left, or with the other's whole
+component. No pair is dropped by a cap.
 
 Null texts count as empty; empty texts are copies of each other and like
 nothing else. Texts of 1 to 4 words are one shingle. Equal ids and null ids
@@ -45,6 +48,8 @@ class Params:
     #: P(no shared band) at the limit: (1 - 0.8 ** 4) ** 20 = 0.00002
     bands: int = 20
     rows: int = 4
+    #: texts of a bucket that all its others are compared with
+    leads: int = 3
 
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -205,34 +210,92 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_rows(texts: DataFrame, p: Params) -> DataFrame:
+    """node, h and c: the distinct shingles of each text and their counts."""
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                doc, h, count = shingle_counts([utf8(t) for t in part.column(1).to_pylist()], p.words)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(h.view("i8")), pa.array(count)], ["node", "h", "c"])
+
+    return texts.select("node", "t").mapInArrow(run, "node binary, h long, c long")
+
+
+def cross_pairs(rest: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that may be similar enough.
+
+    rest: band, key, node, n, component, linked (whether others are in the
+    component). Two bounds leave out only pairs that can't be: a text shares
+    with another at most what it shares with all of these, and with a text of a
+    component of several at most what it shares with that component.
+    """
+    t, slack = p.similarity, 1e-6
+    alike = F.least("n", "r_n") >= t * F.greatest("n", "r_n") - slack
+    needed = t / (1 + t) * (F.col("n") + F.col("r_n")) - slack
+    own = rest.select("node", "n", "component", "linked").distinct()
+    rows = materialise(shingle_rows(texts.join(own.select(F.col("node").alias("m")), F.col("node") == F.col("m")), p), "shingles")
+
+    common = rows.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("h").alias("__h"))
+    shared = rows.join(common, F.col("h") == F.col("__h")).groupBy(F.col("node").alias("m")).agg(F.sum("c").alias("shared"))
+    own = own.join(shared, F.col("node") == F.col("m")).where(F.col("shared") >= t * F.col("n") - slack).drop("m")
+    own = materialise(own, "own")
+    named = own.select(F.col("node").alias("m"), "shared")
+    at = rest.groupBy(F.col("node").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
+    at = at.select("k", F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.try_element_at("keys", i)).alias("keys"))
+    left = materialise(rest.join(named, F.col("node") == F.col("m")).join(at, F.col("node") == F.col("k")).drop("m", "k"), "rest")
+
+    facts = own.select(F.col("node").alias("m"), "n", "component", "linked")
+    known = rows.join(facts, F.col("node") == F.col("m")).drop("m")
+    vocabulary = known.where("linked").select(F.col("h").alias("__h"), F.col("component").alias("to")).distinct()
+    reach = known.join(vocabulary, (F.col("h") == F.col("__h")) & (F.col("component") != F.col("to"))).groupBy("node", "n", "to").agg(F.sum("c").alias("reach"))
+    reach = reach.where(F.col("reach") >= t * F.col("n") - slack).select(F.col("node").alias("m"), "to", "reach")
+
+    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns))
+    # in the first bucket that both are in, so once
+    earlier = F.expr("exists(sequence(0, band), i -> i < band AND coalesce(keys[i] = r_keys[i], false))")
+    bucket = (F.col("band") == F.col("r_band")) & (F.col("key") == F.col("r_key")) & ~earlier
+    single = left.where("NOT linked").join(right.where("NOT r_linked"), bucket & (F.col("node") < F.col("r_node")) & alike & (F.least("shared", "r_shared") >= needed))
+    toward = left.join(reach, F.col("node") == F.col("m")).drop("m")
+    grouped = toward.join(right.where("r_linked"), bucket & (F.col("to") == F.col("r_component")) & alike & (F.least("reach", "r_shared") >= needed))
+    both = single.select("node", "r_node").union(grouped.select("node", "r_node"))
+    return both.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
+
+
 def near_duplicate_classes(df: DataFrame, p: Params = Params(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node and class_id (the least id of the class) of each document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     signed = materialise(signatures(docs, p), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     banded = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n")).where("size > 1")
-    members = banded.join(buckets.withColumnsRenamed({"band": "__b", "key": "__k"}), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k"))).select("band", "key", "node", "n", "lead", "lead_n")
-    members = materialise(members, "members")
-    alike = lambda x, y: F.least(x, y) >= p.similarity * F.greatest(x, y)
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "__b", "key": "__k"})
+    bucket = (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k"))
+    members = materialise(banded.join(buckets, bucket).select("band", "key", "node", "n", "size"), "members")
+    alike = lambda x, y: F.least(x, y) >= p.similarity * F.greatest(x, y) - 1e-6
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
-    inside = members.select(F.col("node").alias("m")).distinct()
+    inside = members.groupBy(F.col("node").alias("m")).agg(F.sum("size").alias("popular"))
     rows = docs.withColumn("node", F.unhex(F.md5(F.col("t").cast("binary"))))
-    firsts = nodes.join(inside, F.col("node") == F.col("m")).select(F.col("node").alias("m"), F.col("first"))
+    firsts = nodes.join(inside, F.col("node") == F.col("m")).select("m", "first")
     texts = rows.join(firsts, (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "t")
     texts = materialise(texts.dropDuplicates(["node"]), "candidates")
 
-    stars = members.where((F.col("node") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(verify(stars, texts, p), "links")
+    # all of a bucket against the texts that most others meet
+    nth = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("popular"), "node"))
+    leads = members.join(inside, F.col("node") == F.col("m")).withColumn("nth", nth).where(F.col("nth") <= p.leads)
+    leads = materialise(leads.select(F.col("band").alias("__b"), F.col("key").alias("__k"), F.col("node").alias("lead"), F.col("n").alias("lead_n")), "leads")
+    stars = members.join(leads, bucket).where((F.col("node") != F.col("lead")) & alike(F.col("n"), F.col("lead_n")))
+    links = materialise(verify(stars.select(*pair("node", "lead")).distinct(), texts, p), "links")
     groups = connected_components(links)
 
-    placed = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("band", "key", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
+    # what is left: texts of a bucket that lie in different components
+    placed = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
+    placed = placed.select("band", "key", "node", "n", F.coalesce("component", "node").alias("component"), F.col("g").isNotNull().alias("linked"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("band").alias("__b"), F.col("key").alias("__k"))
-    left = materialise(placed.join(mixed, (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k"))).select("band", "key", "node", "n", "lead", "component"), "mixed")
-    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns))
-    cross = left.join(right, (F.col("band") == F.col("r_band")) & (F.col("key") == F.col("r_key")) & (F.col("node") < F.col("r_node")) & (F.col("component") != F.col("r_component")) & (F.col("node") != F.col("lead")) & alike(F.col("n"), F.col("r_n")))
-    cross = materialise(cross.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct(), "cross")
-    more = verify(cross, texts, p)
+    led = leads.select(F.col("__b").alias("lb"), F.col("__k").alias("lk"), "lead")
+    rest = placed.join(mixed, bucket).join(led, (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk")) & (F.col("node") == F.col("lead")), "left_anti")
+    rest = materialise(rest.select("band", "key", "node", "n", "component", "linked"), "rest")
+    more = verify(cross_pairs(rest, texts, p), texts, p)
     groups = connected_components(links.union(more))
 
     classed = nodes.select("node", "first").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
