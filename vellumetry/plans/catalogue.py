@@ -189,7 +189,7 @@ def column_consistency(spark, sf):
 def counts_sql(columns: list[str], source: str, n: int) -> str:
     parts = []
     for c in columns:
-        parts.append(f"""SELECT '{c}' AS name, rank, category, count, {PCT.format('count', f'(SELECT count(*) FROM {source})')} AS percentage FROM (
+        parts.append(f"""SELECT '{c}' AS name, CAST(rank AS INT) AS rank, category, count, {PCT.format('count', f'(SELECT count(*) FROM {source})')} AS percentage FROM (
   SELECT least(rn, {n + 1}) AS rank, CASE WHEN least(rn, {n + 1}) > {n} THEN 'Other' ELSE min(v) END AS category, CAST(sum(n) AS BIGINT) AS count FROM (
     SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS rn FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)) GROUP BY 1)""")
     return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
@@ -208,7 +208,7 @@ def categorical_summary_all(spark, sf):
 
 def top_sql(columns: list[str], source: str, n: int) -> str:
     return " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{c}' AS name, row_number() OVER (ORDER BY n DESC, v) AS rank, v AS value, n AS count, {PCT.format('n', 'sum(n) OVER ()')} AS percentage FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= {n}" for c in columns
+        f"SELECT * FROM (SELECT '{c}' AS name, CAST(row_number() OVER (ORDER BY n DESC, v) AS INT) AS rank, v AS value, n AS count, {PCT.format('n', 'sum(n) OVER ()')} AS percentage FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= {n}" for c in columns
     )
 
 
