@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     if _own_root is None:
-        _own_root = "file://" + tempfile.mkdtemp(prefix="vellumetry-")
+        folder = tempfile.mkdtemp(prefix="vellumetry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_root = f"file://{folder}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_own_root)
     return _own_root
