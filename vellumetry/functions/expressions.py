@@ -120,7 +120,3 @@ def quantiles(c: Column, approximate: bool = False) -> Column:
     """[q1, median, q3], interpolated linearly. Exact ones keep a count a distinct value."""
     at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
     return F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) if approximate else F.percentile(c, at)
-
-
-def all_whitespace_trimmed(c: Column) -> Column:
-    return ~c.rlike(EDGE_SPACE)

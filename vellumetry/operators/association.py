@@ -20,13 +20,6 @@ def strength(v: float) -> str:
     return next((name for limit, name in STRENGTHS if v < limit), "strong")
 
 
-def strength_column(v: Column) -> Column:
-    out = F.lit("strong")
-    for limit, name in reversed(STRENGTHS):
-        out = F.when(v < limit, name).otherwise(out)
-    return out
-
-
 def correlation_ratio(df: DataFrame, number: str, category: str) -> DataFrame:
     """association: square root of the share of a number's variation that lies between categories."""
     v = df.select(X.finite(X.number(df, number)).alias("v"), X.value(df, category).cast("string").alias("g")).where("v IS NOT NULL AND g IS NOT NULL")
