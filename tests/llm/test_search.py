@@ -76,6 +76,17 @@ def test_odd_documents(odd_docs, no_docs):
     assert N.near_duplicate_classes(no_docs).count() == 0 and N.deduplicate(no_docs).count() == 0
 
 
+def test_classes_without_an_id_of_their_own_all_stay(spark, words):
+    """Different texts with null or equal ids are different classes; copies and near copies of them are not."""
+    a, b, c, d = (words(80, f"own{i}") for i in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, b + " more"), (7, c), (7, d), (7, d), (8, d + " more"), (9, a + " more"), (None, None), (None, " ")]
+    kept = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near_b = {(None, b), (None, b + " more")}
+    got = [(r.doc_id, r.text) for r in kept]
+    assert len(set(got) & near_b) == 1
+    assert Counter(x for x in got if x not in near_b) == Counter([(9, a + " more"), (7, c), (7, d), (None, None), (None, " ")])
+
+
 @pytest.mark.parametrize("a,b", [({1: 3, 2: 5, 3: 1, 4: 9}, {1: 2, 2: 7, 3: 1, 5: 4}), ({i: 1 for i in range(100)}, {i: 1 for i in range(20, 120)}), ({1: 1000, 2: 3}, {1: 700, 2: 9, 4: 100})])
 def test_signatures_are_unbiased(a, b):
     rows = sorted((2 * r + s, int(N.mix(np.array([k + 1000003 * r], "u8"))[0]), c) for r in range(100) for s, x in enumerate((a, b)) for k, c in x.items())

@@ -263,7 +263,11 @@ def cross_pairs(rest: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 
 def near_duplicate_classes(df: DataFrame, p: Params = Params(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node and class_id (the least id of the class) of each document."""
+    """doc_id, node, class_id (the least id of the class) and component of each document.
+
+    Classes are told apart by ``component``, their least node: several may have
+    the same least id, or none.
+    """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     signed = materialise(signatures(docs, p), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -300,19 +304,20 @@ def near_duplicate_classes(df: DataFrame, p: Params = Params(), *, doc_id: str =
 
     classed = nodes.select("node", "first").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = classed.groupBy("component").agg(F.min("first").alias("class_id")).withColumnRenamed("component", "c")
-    by_node = classed.join(least, F.col("component") == F.col("c")).select("node", "class_id")
+    by_node = classed.join(least, F.col("component") == F.col("c")).select("node", "class_id", "component")
     return salted_join(signed.select("doc_id", "node"), by_node, ["node"], SALTS, F.col("doc_id"))
 
 
 def deduplicate(df: DataFrame, p: Params = Params(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: that with the least id, with all its columns."""
+    """One document of each class: that with the least id, with all its columns; of several with that id, one of the least node."""
     classes = near_duplicate_classes(df, p, doc_id=doc_id, text=text)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node")).withColumnRenamed("class_id", "__class")
+    least = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = least.groupBy("component", F.col("class_id").alias("__class")).agg(F.min("node").alias("__node")).drop("component")
     node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     rows = df.withColumn("__own", node).join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__class")) & (F.col("__own") == F.col("__node")))
-    again = Window.partitionBy("__class").orderBy("__own")
+    again = Window.partitionBy("__own").orderBy("__class")
     return rows.withColumn("__nth", F.row_number().over(again)).where("__nth = 1").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op4_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("component")).alias("component"))
