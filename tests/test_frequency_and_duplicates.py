@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellumetry.operators import duplicates as D
 from vellumetry.operators import frequency as Q
@@ -61,6 +62,21 @@ def test_density_integrates_to_one(spark):
     assert abs(ys[100] - exact) < 1e-3
 
 
+def test_density_of_a_heavy_tail_equals_brute_force(spark):
+    """Where a bin of a fixed number over the range is wider than the bandwidth."""
+    n, points = 200000, 4001
+    i = np.arange(n)
+    x = np.where(i == 0, 1e6, np.where(i % 1000 == 1, i * 0.5, i % 100 / 100))
+    tail = F.when(F.col("id") == 0, 1e6).when(F.col("id") % 1000 == 1, F.col("id") * 0.5).otherwise(F.col("id") % 100 / 100)
+    got = sorted((r.x, r.density) for r in Q.density_curve(spark.range(n).select(tail.alias("x")), "x", points).collect())
+    xs, ys = map(np.array, zip(*got))
+    values, counts = np.unique(x, return_counts=True)
+    w = np.std(x, ddof=1) * n**-0.2
+    exact = (np.exp(-(((xs[:, None] - values) / w) ** 2) / 2) * counts).sum(1) / (n * w * np.sqrt(2 * np.pi))
+    assert len(xs) == points and exact.max() * w > 0.1
+    assert np.allclose(ys, exact, rtol=0.01, atol=1e-5 * exact.max())
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (1, "a"), (3, None)], "id int, name string").coalesce(1)
     r = D.DuplicateDetector().detect(df, indices=True)
