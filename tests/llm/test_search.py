@@ -167,6 +167,13 @@ def test_copies_tie_to_the_least_ids(spark):
     assert got == brute_nearest(np.arange(200), x.astype("f8"), range(0, 200, 20))
 
 
+@pytest.mark.parametrize("distinct", [40, 64])
+def test_few_distinct_vectors_are_exact(spark, distinct):
+    x = np.random.default_rng(6).standard_normal((distinct, 8)).astype("f4")[np.arange(5000) % distinct]
+    got, _ = nearest(vectors(spark, x))
+    assert got == brute_nearest(np.arange(5000), x.astype("f8"), range(0, 5000, 20))
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (None, [1.0, 1.0]), (20, [0.0, -1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")

@@ -16,7 +16,8 @@ of another than the most frequent length or with a null id; a query that takes
 no part gives no rows. Repeated rows count once. Of equal vectors, only the
 ``k + 1`` least ids can be among any query's nearest, since ties go to them;
 the others are left out before partitions are filled, which bounds a hot
-vector without changing a result. Empty tables give no rows.
+vector without changing a result. Where few vectors are distinct there is one
+part and the result is exact. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ class Params:
     #: vectors a part holds, about; parts are at most max_parts
     part_rows: int = 2000
     max_parts: int = 256
+    #: distinct vectors of the sample below which all is one part
+    min_sample: int = 512
     graph_neighbours: int = 12
     hidden: int = 64
     epochs: int = 30
@@ -153,7 +156,7 @@ class Router:
 def fit(sample: np.ndarray, n_rows: int, p: Params) -> tuple[Router, int]:
     """The router, and how many parts a query is sent to."""
     parts = int(max(1, min(p.max_parts, n_rows // p.part_rows, len(sample) // 16)))
-    if parts == 1:
+    if parts == 1 or len(sample) < p.min_sample:
         return Router(sample, 1, p), 1
     held = max(64, len(sample) // 8)
     trial = Router(sample[held:], parts, p)
