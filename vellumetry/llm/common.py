@@ -21,13 +21,16 @@ _own_root: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Read from ``spark.checkpoint.dir``. Only where the session names none
-    (tests, local mode) a temporary folder of this machine is set.
+    Read from ``spark.checkpoint.dir``. Only where the session names none and
+    runs in one process (tests, local mode) is a temporary folder of this
+    machine set; a cluster without shared storage is an error.
     """
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         folder = tempfile.mkdtemp(prefix="vellumetry-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -84,6 +87,8 @@ class AtomicFile:
     def __exit__(self, kind, *_):
         self.out.close()
         if kind is None:
+            if self.fs.get_file_info(self.final).type != pafs.FileType.NotFound:
+                self.fs.delete_file(self.final)  # not every file system moves onto a file
             self.fs.move(self.temp, self.final)
         else:
             self.fs.delete_file(self.temp)
@@ -103,6 +108,17 @@ def read_file(folder: str, name: str):
         return memoryview(f.read_buffer())
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each led by underscores until none of the columns has it (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)), F.lit(0)).cast("long")

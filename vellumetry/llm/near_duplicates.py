@@ -16,9 +16,12 @@ A bucket doesn't emit all its pairs. Every text is first compared with the
 bucket's ``leads``, the texts that meet most others. After the components of
 the verified links are known, only pairs of a bucket that lie in different
 components could change a class. Of those, pairs that cannot be similar enough
-are left out by exact bounds: two texts share at most as many shingles as
-either has in common with all texts that are left, or with the other's whole
-component. No pair is dropped by a cap.
+are left out by two exact bounds on what they share (``cross_pairs``): a text
+shares with another at most what it shares with any other text that is left,
+and at most its size less one for each bit of a hash set of its shingles that
+the other's hash set lacks. No pair is dropped by a cap. (The shingles rarest
+in the whole table, the usual prefix filter, don't tell apart copies of one
+text, whose shingles are all about equally frequent.)
 
 Null texts count as empty; empty texts are copies of each other and like
 nothing else. Texts of 1 to 4 words are one shingle. Equal ids and null ids
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumetry.llm.common import materialise, read_table, salted_join, utf8
+from vellumetry.llm.common import fresh, materialise, read_table, salted_join, utf8
 from vellumetry.llm.graph import connected_components
 
 SALTS = 32
@@ -50,6 +53,12 @@ class Params:
     rows: int = 4
     #: texts of a bucket that all its others are compared with
     leads: int = 3
+    #: 64-bit integers of a text's hash set of shingles
+    longs: int = 32
+    #: texts of a bucket that are compared in one task with all its others, about
+    deal: int = 512
+    #: signatures that a task remembers, so that copies are signed once
+    memo: int = 20_000
 
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -169,17 +178,31 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, t) -> doc_id, node (MD5 of the text), n (shingles) and keys of its bands."""
+    """(doc_id, t) -> doc_id, node (MD5 of the text), n (shingles) and keys of its bands.
+
+    A copy of a text that its task has signed lately has no n and no keys.
+    """
 
     def run(batches):
+        signed: set = set()
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                texts = [utf8(t) for t in part.column(2).to_pylist()]
-                doc, h, count = shingle_counts(texts, p.words)
+                if len(signed) > p.memo:
+                    signed.clear()
+                nodes, new = part.column(1).to_pylist(), []
+                for i, node in enumerate(nodes):
+                    if node not in signed:
+                        signed.add(node)
+                        new.append(i)
+                texts = [utf8(t) for t in part.column(2).take(pa.array(new, pa.int64())).to_pylist()]
+                doc, h, count = shingle_counts(texts, p.words) if texts else (np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "i8"))
                 keys = band_keys(bag_min_hash(doc, h, count, len(texts), p.bands * p.rows), p.bands, p.rows)
-                n = np.bincount(doc, count, len(texts)).astype("i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype="i4") * p.bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), lists], ["doc_id", "node", "n", "keys"])
+                at = np.full(len(nodes), -1)
+                at[new] = np.arange(len(new))
+                at = pa.array(at, mask=at < 0)
+                n = pa.array(np.bincount(doc, count, len(texts)).astype("i8"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n.take(at), lists.take(at)], ["doc_id", "node", "n", "keys"])
 
     rows = docs.select("doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("node"), "t")
     return rows.mapInArrow(run, "doc_id long, node binary, n long, keys array<long>")
@@ -222,55 +245,69 @@ def shingle_rows(texts: DataFrame, p: Params) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node binary, h long, c long")
 
 
+def hash_sets(texts: DataFrame, p: Params) -> DataFrame:
+    """node and bits: a hash set of the text's shingles."""
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                doc, h, _ = shingle_counts([utf8(t) for t in part.column(1).to_pylist()], p.words)
+                sets = np.zeros((part.num_rows, p.longs * 64), bool)
+                sets[doc, (mix(h) % np.uint64(p.longs * 64)).astype("i8")] = True
+                longs = np.packbits(sets, axis=1, bitorder="little").view("<i8").reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype="i4") * p.longs), pa.array(longs))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "bits"])
+
+    return texts.select("node", "t").mapInArrow(run, "node binary, bits array<long>")
+
+
 def cross_pairs(rest: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) of a bucket in different components that may be similar enough.
 
-    rest: band, key, node, n, component, linked (whether others are in the
-    component). Two bounds leave out only pairs that can't be: a text shares
-    with another at most what it shares with all of these, and with a text of a
-    component of several at most what it shares with that component.
+    rest: band, key, node, n, component. A pair is made in the first bucket that
+    both are in, and only if both bounds on what the two share allow the
+    similarity. One side of a large bucket is dealt out, the other repeated.
     """
     t, slack = p.similarity, 1e-6
-    alike = F.least("n", "r_n") >= t * F.greatest("n", "r_n") - slack
-    needed = t / (1 + t) * (F.col("n") + F.col("r_n")) - slack
-    own = rest.select("node", "n", "component", "linked").distinct()
-    rows = materialise(shingle_rows(texts.join(own.select(F.col("node").alias("m")), F.col("node") == F.col("m")), p), "shingles")
-
+    own = rest.select("node", "n").distinct()
+    own = materialise(texts.join(own.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).drop("m"), "own")
+    rows = materialise(shingle_rows(own, p), "shingles")
     common = rows.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("h").alias("__h"))
-    shared = rows.join(common, F.col("h") == F.col("__h")).groupBy(F.col("node").alias("m")).agg(F.sum("c").alias("shared"))
-    own = own.join(shared, F.col("node") == F.col("m")).where(F.col("shared") >= t * F.col("n") - slack).drop("m")
-    own = materialise(own, "own")
-    named = own.select(F.col("node").alias("m"), "shared")
+    shared = rows.join(common, F.col("h") == F.col("__h")).groupBy("node").agg(F.sum("c").alias("shared"))
+    sets = own.join(shared.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).where(F.col("shared") >= t * F.col("n") - slack)
+    bits = hash_sets(sets, p).withColumnRenamed("node", "k")
+    facts = sets.select("m", "shared").join(bits, F.col("m") == F.col("k")).drop("k")
     at = rest.groupBy(F.col("node").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
     at = at.select("k", F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.try_element_at("keys", i)).alias("keys"))
-    left = materialise(rest.join(named, F.col("node") == F.col("m")).join(at, F.col("node") == F.col("k")).drop("m", "k"), "rest")
-
-    facts = own.select(F.col("node").alias("m"), "n", "component", "linked")
-    known = rows.join(facts, F.col("node") == F.col("m")).drop("m")
-    vocabulary = known.where("linked").select(F.col("h").alias("__h"), F.col("component").alias("to")).distinct()
-    reach = known.join(vocabulary, (F.col("h") == F.col("__h")) & (F.col("component") != F.col("to"))).groupBy("node", "n", "to").agg(F.sum("c").alias("reach"))
-    reach = reach.where(F.col("reach") >= t * F.col("n") - slack).select(F.col("node").alias("m"), "to", "reach")
-
-    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns))
-    # in the first bucket that both are in, so once
+    left = materialise(rest.join(facts, F.col("node") == F.col("m")).join(at, F.col("node") == F.col("k")).drop("m", "k"), "rest")
+    sizes = left.groupBy(F.col("band").alias("__b"), F.col("key").alias("__k")).agg(F.ceil(F.count("*") / p.deal).cast("int").alias("deals")).where("deals > 0")
+    left = materialise(left.join(sizes, (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k"))).drop("__b", "__k"), "dealt")
+
+    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns if c != "deals"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("r_deal"))
+    left = left.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int")).drop("deals")
+    bucket = (F.col("band") == F.col("r_band")) & (F.col("key") == F.col("r_key")) & (F.col("deal") == F.col("r_deal"))
+    others = (F.col("node") < F.col("r_node")) & (F.col("component") != F.col("r_component"))
+    alike = F.least("n", "r_n") >= t * F.greatest("n", "r_n") - slack
+    needed = t / (1 + t) * (F.col("n") + F.col("r_n")) - slack
     earlier = F.expr("exists(sequence(0, band), i -> i < band AND coalesce(keys[i] = r_keys[i], false))")
-    bucket = (F.col("band") == F.col("r_band")) & (F.col("key") == F.col("r_key")) & ~earlier
-    single = left.where("NOT linked").join(right.where("NOT r_linked"), bucket & (F.col("node") < F.col("r_node")) & alike & (F.least("shared", "r_shared") >= needed))
-    toward = left.join(reach, F.col("node") == F.col("m")).drop("m")
-    grouped = toward.join(right.where("r_linked"), bucket & (F.col("to") == F.col("r_component")) & alike & (F.least("reach", "r_shared") >= needed))
-    both = single.select("node", "r_node").union(grouped.select("node", "r_node"))
-    return both.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, v: s + v)
+    overlap = F.least(F.col("n") - lacks("bits", "r_bits"), F.col("r_n") - lacks("r_bits", "bits"))
+    may = others & alike & (F.least("shared", "r_shared") >= needed) & ~earlier & (overlap >= needed)
+    return left.join(right, bucket & may).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 
 
 def near_duplicate_classes(df: DataFrame, p: Params = Params(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node, class_id (the least id of the class) and component of each document.
+    """doc_id, node, class_id (the least id of the class), component and links of each document.
 
     Classes are told apart by ``component``, their least node: several may have
-    the same least id, or none.
+    the same least id, or none. ``links`` counts the other texts that a text was
+    verified against and found similar; links are looked for until classes are
+    known, so pairs within a class aren't all counted.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     signed = materialise(signatures(docs, p), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
+    nodes = materialise(nodes, "nodes")
     banded = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "__b", "key": "__k"})
     bucket = (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k"))
@@ -294,30 +331,41 @@ def near_duplicate_classes(df: DataFrame, p: Params = Params(), *, doc_id: str =
 
     # what is left: texts of a bucket that lie in different components
     placed = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
-    placed = placed.select("band", "key", "node", "n", F.coalesce("component", "node").alias("component"), F.col("g").isNotNull().alias("linked"))
+    placed = placed.select("band", "key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("band").alias("__b"), F.col("key").alias("__k"))
     led = leads.select(F.col("__b").alias("lb"), F.col("__k").alias("lk"), "lead")
     rest = placed.join(mixed, bucket).join(led, (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk")) & (F.col("node") == F.col("lead")), "left_anti")
-    rest = materialise(rest.select("band", "key", "node", "n", "component", "linked"), "rest")
-    more = verify(cross_pairs(rest, texts, p), texts, p)
-    groups = connected_components(links.union(more))
-
-    classed = nodes.select("node", "first").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    rest = materialise(rest.select("band", "key", "node", "n", "component"), "rest")
+    more = materialise(verify(cross_pairs(rest, texts, p), texts, p), "links")
+    # the first components are joined by the new links
+    of = lambda side: groups.select(F.col("node").alias(f"{side}_n"), F.col("component").alias(f"{side}_c"))
+    between = more.join(of("a"), F.col("a") == F.col("a_n"), "left").join(of("b"), F.col("b") == F.col("b_n"), "left")
+    merged = connected_components(between.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    merged = merged.select(F.col("node").alias("x"), F.col("component").alias("into"))
+    ends = links.union(more)
+    degree = ends.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("links"))
+
+    placed = nodes.select("node", "first").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
+    placed = placed.select("node", "first", F.coalesce("component", "node").alias("own"))
+    classed = placed.join(merged, F.col("own") == F.col("x"), "left").select("node", "first", F.coalesce("into", "own").alias("component"))
+    classed = classed.join(degree, F.col("node") == F.col("d"), "left").select("node", "first", "component", F.coalesce("links", F.lit(0)).alias("links"))
     least = classed.groupBy("component").agg(F.min("first").alias("class_id")).withColumnRenamed("component", "c")
-    by_node = classed.join(least, F.col("component") == F.col("c")).select("node", "class_id", "component")
+    by_node = classed.join(least, F.col("component") == F.col("c")).select("node", "class_id", "component", "links")
     return salted_join(signed.select("doc_id", "node"), by_node, ["node"], SALTS, F.col("doc_id"))
 
 
 def deduplicate(df: DataFrame, p: Params = Params(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class: that with the least id, with all its columns; of several with that id, one of the least node."""
     classes = near_duplicate_classes(df, p, doc_id=doc_id, text=text)
+    own, nth, of_class, of_node = fresh(df.columns, "own", "nth", "of_class", "of_node")
     least = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = least.groupBy("component", F.col("class_id").alias("__class")).agg(F.min("node").alias("__node")).drop("component")
+    kept = least.groupBy("component", F.col("class_id").alias(of_class)).agg(F.min("node").alias(of_node)).drop("component")
     node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    rows = df.withColumn("__own", node).join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__class")) & (F.col("__own") == F.col("__node")))
-    again = Window.partitionBy("__own").orderBy("__class")
-    return rows.withColumn("__nth", F.row_number().over(again)).where("__nth = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.withColumn(own, node)
+    rows = rows.join(kept, rows[doc_id].cast("long").eqNullSafe(kept[of_class]) & (rows[own] == kept[of_node]))
+    again = Window.partitionBy(own).orderBy(of_class)
+    return rows.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op4_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("component")).alias("component"))
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("component")).alias("component"), "links")
