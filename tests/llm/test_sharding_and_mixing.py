@@ -72,8 +72,31 @@ def test_empty_table_has_no_shards(spark, no_docs):
     assert back.count() == 0
 
 
-def test_targets_share_and_stop():
-    got = M.targets([(None, 100), ("b", 10), ("a", 1000)])
+def plain_targets(sizes, weights=M.WEIGHTS, most=M.MOST_EPOCHS):
+    """Round after round: sources whose share is above their cap get the cap, the others share what is left."""
+    rows = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = [weights[i % len(weights)] for i in range(len(rows))]
+    target = [None] * len(rows)
+    while open_ := [i for i, t in enumerate(target) if t is None]:
+        share = (sum(r[1] for r in rows) - sum(t for t in target if t is not None)) / sum(weight[i] for i in open_)
+        above = [i for i in open_ if share * weight[i] > most * rows[i][1]]
+        for i in above or open_:
+            target[i] = float(most * rows[i][1]) if above else share * weight[i]
+    return [(s, n, t) for (s, n), t in zip(rows, target)]
+
+
+def test_targets_equal_rounds(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 9):
+        sizes = [(f"s{i}" if i else None, rng.choice([0, 3, 40, 1000, 20000])) for i in range(n)]
+        got = M.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()
+        want = {s: t for s, _, t in plain_targets(sizes)}
+        assert {r.source for r in got} == set(want) and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
+def test_targets_share_and_stop(spark):
+    rows = spark.createDataFrame([(None, 100), ("b", 10), ("a", 1000)], "source string, source_size long")
+    got = sorted(((r.source, r.source_size, r.target) for r in M.targets(rows).collect()), key=lambda r: (r[0] is None, r[0]))
     assert [g[0] for g in got] == ["a", "b", None]
     assert abs(sum(g[2] for g in got) - 1110) < 1e-6
     assert got[1][2] == 30 and all(g[2] <= 3 * g[1] + 1e-9 for g in got)
@@ -85,11 +108,11 @@ def test_mix_against_a_plain_loop(spark):
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in M.mix(df).collect()}
-    key = {r[0]: r[1] for r in df.select("doc_id", M.random_key(F.col("doc_id"))).collect()}
+    key = {r[0]: r[1] for r in df.select("doc_id", M.random_key(F.col("doc_id"), F.col("text"))).collect()}
     by = defaultdict(list)
     for i, t, s in rows:
         by[s].append((key[i], i, len(t.split())))
-    for s, n, target in M.targets([(s, sum(x[2] for x in own)) for s, own in by.items()]):
+    for s, n, target in plain_targets([(s, sum(x[2] for x in own)) for s, own in by.items()]):
         epochs, before = int(target // n), 0
         for _, i, size in sorted(by[s]):
             taken = epochs * size + (size if before + size / 2 < target - epochs * n else 0)
@@ -114,3 +137,23 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert sum(len((r.text or "").replace("\x85", "").encode().split()) for r in mixed.collect()) > 0
     assert mixed.count() == sum(r.taken // r.size for r in rows if r.size)
     assert M.mix(no_docs).count() == 0 and M.mixed_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("extra", ["s", "b", "at", "key", "times", "nth", "epochs", "target"])
+def test_mix_keeps_columns_of_any_name(spark, extra):
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 5 == 0], i) for i in range(60)], f"doc_id long, text string, source string, {extra} int")
+    mixed = M.mixed_documents(df)
+    assert mixed.columns == df.columns and all(r[3] == r.doc_id for r in mixed.collect())
+
+
+@pytest.mark.parametrize("copies", [1, 2, 37])
+def test_a_cut_among_equal_rows_takes_as_many_as_fit(spark, copies):
+    rows = [(None, "one two three", "a")] * copies + [(i, "x " * (i % 4 + 1), "b") for i in range(30)] + [(1, "y z", None)] * 11
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, by = M.mix(df).collect(), {}
+    assert len(got) == len(rows)
+    for r in got:
+        size, taken, target = by.get(r.source_size, (0, 0, 0))
+        by[r.source_size] = (size + r.size, taken + r.taken, r.target)
+    assert all(size == n and abs(taken - target) <= 1.5 + 1e-9 for n, (size, taken, target) in by.items())
+    assert M.mixed_documents(df).count() == sum(r.taken // r.size for r in got)
