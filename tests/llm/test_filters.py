@@ -62,7 +62,55 @@ def test_references_are_exact_and_ignore_batches(spark):
     total = sum(count.values())
     want = sorted((w for w in count if count[w] >= total / 1000), key=lambda w: (-count[w], w))[:50]
     assert common == again == want
-    assert np.allclose(own[:-1], [count[w] / total for w in want]) and np.isclose(own.sum(), 1) and np.isclose(shares.sum(), 1)
+    assert np.allclose(own[:-2], [count[w] / total for w in want]) and own[-2] == 0 and np.isclose(own.sum(), 1) and np.isclose(shares.sum(), 1)
+
+
+def plain_class(ch):
+    if ch in " \t\n\r\x0b\x0c":
+        return None
+    if ch.islower() or ch.isupper():
+        return ("lower" if ch.islower() else "upper") if ord(ch) < 128 else "letter"
+    if ch.isdigit():
+        return "digit"
+    if ch in ".,;:!?'\"()-":
+        return "stop"
+    return "letter" if ch.isalpha() else "symbol" if ord(ch) < 128 else "other"
+
+
+def plain_distance(p, q):
+    total = 0.0
+    for k in set(p) | set(q):
+        a, b = p.get(k, 0.0), q.get(k, 0.0)
+        total += sum(x / 2 * np.log2(2 * x / (a + b)) for x in (a, b) if x)
+    return max(total, 0) ** 0.5
+
+
+def shares(items):
+    count = Counter(items)
+    return {k: n / sum(count.values()) for k, n in count.items()}
+
+
+def test_distances_and_verdicts_equal_brute_force(spark):
+    clean, junk = corpus()
+    mixed = [t + " 12 | 7 |" * 30 for t in clean[:20]] + ["é ö ß 你好 " * 40, "x " * 49]
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(clean + junk + mixed)]
+    got = {r.doc_id: r for r in V.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang in ("en", None):
+        own = [(i, t) for i, t, l in rows if l == lang]
+        every = Counter(w for _, t in own for w in t.split())
+        total = sum(every.values())
+        common = {w for w in sorted((w for w in every if every[w] >= total / 1000 and any(map(str.isalpha, w))), key=lambda w: (-every[w], w.encode()))[:50]}
+        place = lambda w: w if w in common else None if any(map(str.isalpha, w)) else 0  # noqa: E731, B023
+        chars = lambda t: [c for c in map(plain_class, t) if c]
+        of_words, of_chars = shares(map(place, every.elements())), shares(c for _, t in own for c in chars(t))
+        for i, t in own:
+            n = len(t.split())
+            by_char, by_word = plain_distance(shares(chars(t)), of_chars), plain_distance(shares(map(place, t.split())), of_words)
+            if n < 50:
+                assert got[i].char_distance is None and not got[i].kept
+                continue
+            assert abs(got[i].char_distance - by_char) < 1e-9 and abs(got[i].word_distance - by_word) < 1e-9
+            assert got[i].kept == (not brute_counts(t)[5] and by_char <= 0.30 and by_word <= 0.22 + 1.9 / n**0.5)
 
 
 def test_distance():
@@ -122,6 +170,61 @@ def test_held_out_accuracy(toxic_docs):
     assert len(held) > 100 and np.mean(right) > 0.95
 
 
+def plain_score(m, p, text):
+    """One window, one word and one unit after the other."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(inputs, u):
+        n, h, out = p.hidden, np.zeros(p.hidden), []
+        for x in inputs:
+            a = u @ h
+            r, z = sig(x[:n] + a[:n]), sig(x[n : 2 * n] + a[n : 2 * n])
+            h = (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    words, best = text.encode().split(), -np.inf
+    for start in X.window_starts(len(words), p):
+        inputs = []
+        for w in words[start : start + p.window]:
+            word, grams = X.slots_of(w, p)
+            inputs.append((m["words"][word] + np.mean([m["chars"][g] for g in grams], 0)) @ m["w"] + m["b"])
+        half = 3 * p.hidden
+        ahead, back = states([x[:half] for x in inputs], m["uf"]), states([x[half:] for x in inputs][::-1], m["ub"])[::-1]
+        both = [np.concatenate(x) for x in zip(ahead, back)]
+        if both:
+            e = np.array([m["va"] @ np.tanh(m["wa"] @ s) for s in both])
+            w = np.exp(e - e.max())
+            pooled = (w / w.sum()) @ np.array(both)
+        else:
+            pooled = np.zeros(2 * p.hidden)
+        best = max(best, m["wo"] @ pooled + m["bo"][0])
+    return sig(m["scale"][0] * best + m["scale"][1])
+
+
+def test_scores_equal_a_plain_loop(toxic_docs, odd_docs):
+    docs, labels = toxic_docs
+    model = X.fit(docs, labels, SMALL)
+    m = {k: v.astype("f8") for k, v in model.items()}
+    for df in (docs.where("doc_id < 60"), odd_docs):
+        rows = X.score_documents(df, model, SMALL, name="own").collect()
+        assert max(abs(r.own - plain_score(m, SMALL, r.text or "")) for r in rows if len(r.text or "") < 50000) < 1e-3
+
+
+def test_sample_is_bounded_in_bytes_and_by_distinct_text(spark, toxic_docs, monkeypatch):
+    docs, labels = toxic_docs
+    again = docs.union(docs.where("doc_id % 4 = 0")).union(docs.where("doc_id % 4 = 0"))
+    seen = []
+    monkeypatch.setattr(X, "train", lambda texts, y, p: seen.append((texts, y)))
+    X.fit(again, labels, X.Params(max_bytes=20000))
+    (texts, y), = seen
+    assert len(texts) == len(set(texts)) and set(y) == {0, 1}
+    for c in (0, 1):
+        assert 15000 < sum(len(t) for t, k in zip(texts, y) if k == c) <= 20000
+    held = {t for i, t in docs.collect() if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert not held & {t.decode() for t in texts}
+
+
 def test_every_window_counts(toxic_docs):
     docs, labels = toxic_docs
     model = X.fit(docs, labels, SMALL)

@@ -36,7 +36,7 @@ def test_pieces_give_what_the_library_gives():
 
 
 def test_folds_give_what_the_library_gives(library):
-    coder = bpe.bpe_of(RANKS, PATTERN)
+    coder = bpe.Bpe(RANKS, PATTERN)
     texts = strings()
     got = [np.frombuffer(g, "<u4").tolist() for g in coder.encoder.encode(texts)]
     assert got == [library.encode_ordinary(t) for t in texts]

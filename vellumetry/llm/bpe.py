@@ -91,7 +91,7 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Bpe:
-    """Encoder and decoder of one rank file, with memos of bounded size."""
+    """Encoder and decoder of one rank file for one task, with memos of bounded size."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -106,7 +106,7 @@ class Bpe:
 
     def encode_one(self, text: str) -> list[int]:
         words, out = self.words, []
-        if len(words) > 200_000:
+        if len(words) > 100_000:
             words.clear()
         for w in self.match(text):
             ids = words.get(w)
@@ -117,28 +117,29 @@ class Bpe:
             out += ids
         return out
 
+    def close(self) -> None:
+        self.words = {}
+        self.encoder.close()
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of little-endian unsigned 32-bit ids."""
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_bpes: dict[tuple, Bpe] = {}
-
-
-def bpe_of(path: str, pattern: str) -> Bpe:
-    if (path, pattern) not in _bpes:
-        _bpes[path, pattern] = Bpe(path, pattern)
-    return _bpes[path, pattern]
-
-
 def encode_documents(df: DataFrame, ranks: str, pattern: str, *, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, and its ids if asked for."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(ranks, pattern)
+        bpe = Bpe(ranks, pattern)
+        try:
+            yield from encode_all(bpe, batches)
+        finally:
+            bpe.close()
+
+    def encode_all(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 coded = bpe.encoder.encode(b.column(1).to_pylist())
                 cols = {
                     "doc_id": b.column(0),

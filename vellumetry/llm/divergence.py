@@ -172,22 +172,34 @@ def language_references(df: DataFrame, limits: Limits = Limits(), *, text: str =
             out = Counter()
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if own := candidates.get(l):
-                    for w, n in Counter(filter(own.__contains__, utf8(t).split())).items():
+                    words = utf8(t).split()
+                    for w, n in Counter(filter(own.__contains__, words)).items():
                         out[l, "w", w] += n
+                    out[l, "x", b""] += letterless(words)
             yield from _rows(out)
 
     exact: dict = {l: {} for l in totals}
+    bare: dict = {}
     if candidates:
         for r in rows.mapInArrow(count, _HIST).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).collect():
-            exact[r.lang][bytes(r.key)] = r.n
+            if r.kind == "x":
+                bare[r.lang] = r.n
+            else:
+                exact[r.lang][bytes(r.key)] = r.n
     out = {}
     for l, n in totals.items():
         common = sorted((w for w, k in exact[l].items() if k >= n * limits.min_share), key=lambda w: (-exact[l][w], w))[: limits.n_common]
         own = np.array([exact[l][w] for w in common], "f8")
-        out[l] = (classes[l] / max(1, classes[l].sum()), common, np.append(own, n - own.sum()) / n)
+        rest = n - own.sum() - bare.get(l, 0)
+        out[l] = (classes[l] / max(1, classes[l].sum()), common, np.append(own, [bare.get(l, 0), rest]) / n)
     return out
 
 
+def letterless(words: list[bytes]) -> int:
+    """Words without any letter, which have a bin of their own: no language has many."""
+    return sum(not any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in words if not w.isalpha())
+
+
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
@@ -207,7 +219,8 @@ def judge_batch(texts: list, langs: list, references: dict, limits: Limits) -> d
             own = Counter(words)
             counts = np.array([own[w] for w in common], "f8")
             by_char = float(js_distance(classes[:N_CLASSES] / max(1, classes[:N_CLASSES].sum()), shares))
-            by_word = float(js_distance(np.append(counts, n - counts.sum()) / n, common_shares))
+            bare = letterless(words)
+            by_word = float(js_distance(np.append(counts, [bare, n - counts.sum() - bare]) / n, common_shares))
             kept = kept and by_char <= limits.max_char_distance and by_word <= limits.max_word_distance + limits.word_distance_by_length / n**0.5
         row = (n, int(classes.sum() - classes[SPACE]), sum(raw.count(s) for s in SYMBOLS), duplicate_lines(raw), repeats, failed, kept, by_char, by_word)
         for column, v in zip(out.values(), row):

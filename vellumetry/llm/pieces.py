@@ -19,15 +19,20 @@ class PieceEncoder:
     ``encode_many`` turns a list of strings into a list of id lists and defines
     the result; ``encode_pieces`` does so for pieces that each follow a space,
     if there is a faster way for them. The memo holds at most ``limit`` pieces of up to ``longest``
-    characters; when it is full it starts anew, so memory is bounded.
+    characters; when it is full it starts anew, so memory is bounded. An encoder
+    belongs to one task; ``close`` gives its memory back before the task ends,
+    since the process may go on to run others.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], dtype: str = "<u4", limit: int = 600_000, longest: int = 48, encode_pieces: Callable[[list[str]], Iterable] | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable], dtype: str = "<u4", limit: int = 200_000, longest: int = 48, encode_pieces: Callable[[list[str]], Iterable] | None = None):
         self.encode_many, self.dtype, self.limit, self.longest = encode_many, dtype, limit, longest
         self.encode_pieces = encode_pieces or (lambda pieces: encode_many([" " + p for p in pieces]))
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
 
+    def close(self) -> None:
+        self.inner, self.first = {}, {}
+
     def _bytes(self, coded: Iterable) -> list[bytes]:
         return [np.asarray(ids, self.dtype).tobytes() for ids in coded]
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -38,33 +39,30 @@ from vellumetry.llm.pieces import PieceEncoder
 END_ID = 2
 #: Documents encoded at a time; bounds the memory of their pieces.
 CHUNK = 512
-_encoders: dict[tuple, PieceEncoder] = {}
 
 
 def library_encoder(path: str, dtype: str) -> PieceEncoder:
-    """One encoder a Python worker, with the tokenizers library behind it."""
-    if (path, dtype) not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    """An encoder with the tokenizers library behind it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        lengths = _byte_lengths(tok)
+    tok = Tokenizer.from_file(path)
+    lengths = _byte_lengths(tok)
 
-        def encode_many(texts: list[str]):
-            return (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))
+    def encode_many(texts: list[str]):
+        return (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))
 
-        def encode_pieces(pieces: list[str]) -> list[np.ndarray]:
-            """All pieces as one text, cut where the ids' bytes add up to a piece."""
-            ids = np.asarray(next(iter(encode_many([" " + " ".join(pieces)]))))
-            ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-            covered = np.cumsum(lengths[ids])
-            at = np.searchsorted(covered, ends) + 1
-            if not np.array_equal(covered[at - 1], ends):
-                raise ValueError("a token crosses the space between two pieces")
-            return np.split(ids, at[:-1])
+    def encode_pieces(pieces: list[str]):
+        """All pieces as one text, cut where the ids' bytes add up to a piece; one by one if a token crosses a cut."""
+        ids = np.asarray(next(iter(encode_many([" " + " ".join(pieces)]))))
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        covered = np.cumsum(lengths[ids])
+        at = np.searchsorted(covered, ends) + 1
+        if len(covered) == 0 or at[-1] > len(covered) or not np.array_equal(covered[at - 1], ends):
+            return encode_many([" " + p for p in pieces])
+        return np.split(ids, at[:-1])
 
-        _encoders[path, dtype] = PieceEncoder(encode_many, dtype, encode_pieces=encode_pieces)
-    return _encoders[path, dtype]
+    return PieceEncoder(encode_many, dtype, encode_pieces=encode_pieces)
 
 
 def _byte_lengths(tok) -> np.ndarray:
@@ -117,7 +115,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
                     yield b.slice(lo, CHUNK)
 
         names = [f"part-{part:06d}.{x}" for x in ("bin", "off", "doc", "nul")]
-        with AtomicFile(folder, names[0]) as bin_, AtomicFile(folder, names[1]) as off, AtomicFile(folder, names[2]) as doc, AtomicFile(folder, names[3]) as nul:
+        with closing(encoder), AtomicFile(folder, names[0]) as bin_, AtomicFile(folder, names[1]) as off, AtomicFile(folder, names[2]) as doc, AtomicFile(folder, names[3]) as nul:
             off.write(np.zeros(1, "<i8").tobytes())
             for b in rest():
                 ids = b.column(0)

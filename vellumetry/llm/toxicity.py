@@ -12,9 +12,10 @@ from the window of a toxic document that holds the words most peculiar to
 toxic documents, then from the window that the network itself scores highest;
 of clean documents, from random and from highest windows.
 
-The classifier is fitted on a bounded sample: at most ``max_documents`` of
-each class, those of least hash of the id. Rows whose crc32(doc_id as text)
-mod 4 is 2 are never learnt from. Only the text is an input of a score.
+The classifier is fitted on a bounded sample of distinct texts: of each class
+at most ``max_documents``, those of least MD5, as far as they have ``max_bytes``
+together (a longer text than is left is passed over). Rows whose
+crc32(doc_id as text) mod 4 is 2 are never learnt from. Only the text is an input of a score.
 
 Null and empty texts are scored as one empty window. Null labels and labels of
 null ids are left out; repeated labels count as toxic if one is. Equal texts
@@ -24,6 +25,7 @@ get equal scores. Without labelled rows of both classes every score is 0.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumetry.llm.common import read_table, utf8
+from vellumetry.llm.common import materialise, read_table, utf8
 
 STRIP = b".,;:!?\"'()[]{}*-_#$%&|<>"
 
@@ -49,6 +51,8 @@ class Params:
     char_slots: int = 1 << 14
     #: the classifier's sample: documents of each class
     max_documents: int = 2500
+    #: and their UTF-8 bytes, of each class: what reaches the driver
+    max_bytes: int = 8 << 20
     batch: int = 512
     rate: float = 0.02
     turns: tuple = (3, 3)
@@ -180,7 +184,7 @@ class Windows:
 
     def __init__(self, texts: list[bytes], p: Params):
         self.p, self.vocabulary = p, {}
-        slots, grams, ends = [], [], []
+        slots, grams, ends = array("i"), array("i"), array("i")
         self.words: list[np.ndarray] = []
         for t in texts:
             own = []
@@ -190,11 +194,11 @@ class Windows:
                     i = self.vocabulary[w] = len(slots)
                     s, g = slots_of(w, p)
                     slots.append(s)
-                    grams += g
+                    grams.extend(g)
                     ends.append(len(grams))
                 own.append(i)
             self.words.append(np.array(own, "i4"))
-        self.slots, self.grams, self.ends = np.array(slots, "i8"), np.array(grams, "i8"), np.array(ends, "i8")
+        self.slots, self.grams, self.ends = (np.array(x, "i4") for x in (slots, grams, ends))
         starts = [(d, s) for d, w in enumerate(self.words) for s in window_starts(len(w), p)]
         self.doc = np.array([d for d, _ in starts], "i8")
         self.start = np.array([s for _, s in starts], "i8")
@@ -212,8 +216,9 @@ class Windows:
 
     def logits(self, m: dict) -> np.ndarray:
         """Of all windows."""
-        table = embed(m, self.slots, self.grams, self.ends) @ m["w"] + m["b"]
-        table = np.concatenate([table, np.zeros((1, table.shape[1]), "f4")])
+        table = np.zeros((len(self.slots) + 1, m["w"].shape[1]), "f4")
+        np.matmul(embed(m, self.slots, self.grams, self.ends), m["w"], out=table[:-1])
+        table[:-1] += m["b"]
         out = []
         for lo in range(0, len(self.doc), 2048):
             idx, mask = self.take(np.arange(lo, min(lo + 2048, len(self.doc))))
@@ -370,18 +375,30 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), *, doc_id: str
     """Model of the labelled documents that aren't held out; labels have doc_id and toxic."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max("toxic").cast("int").alias("toxic"))
-    draw = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("k"), "k").limit(p.max_documents)
-    sample = draw(0).unionAll(draw(1))  # at most 2 * max_documents ids
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("k")).select("d", "t", "toxic").collect()
-    rows.sort(key=lambda r: (r.d, r.t or ""))
-    return train([utf8(r.t) for r in rows], [r.toxic for r in rows], p)
-
-
-def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str = "text") -> DataFrame:
-    """``df`` with ``score``; a column of that name is replaced."""
-    df = df.drop("score")
+    texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    texts = texts.withColumn("m", F.md5(F.col("t").cast("binary")))
+    light = texts.select("d", "m", F.octet_length("t").alias("size")).join(known, F.col("d") == F.col("k"))
+    light = materialise(light.groupBy("m").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size")), "labelled")
+    sample = {}
+    for c in (0, 1):
+        left = p.max_bytes
+        for r in light.where(F.col("toxic") == c).orderBy("m").limit(p.max_documents).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                sample[r.m] = c
+    if not sample:
+        return train([], [], p)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in sorted(sample)], "c string"))  # 2 * max_documents rows at most
+    rows = texts.join(chosen, F.col("m") == F.col("c")).groupBy("m").agg(F.first("t").alias("t")).collect()
+    rows.sort(key=lambda r: r.m)
+    return train([utf8(r.t) for r in rows], [sample[r.m] for r in rows], p)
+
+
+def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str = "text", name: str = "score") -> DataFrame:
+    """``df`` with its scores in a new column ``name``; a column of that name is replaced."""
+    df = df.drop(name)
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(m, p)
@@ -390,7 +407,7 @@ def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str =
             out = np.empty(len(texts))
             for lo, hi in chunks(texts):
                 out[lo:hi] = scorer.score([utf8(t) for t in texts[lo:hi]])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
