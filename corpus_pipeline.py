@@ -3,7 +3,14 @@
 toxic documents go; documents of low quality go; one document of each group of
 near duplicates stays; the sources are mixed to their weights; what is left is
 encoded. A stage takes the documents that its predecessor kept and returns
-documents with the columns it was given; the last returns their token ids.
+documents with the columns it was given, whatever their names; the last returns
+their token ids.
+
+Null and empty texts are not toxic, but have too few words for the quality
+rules, so they go there. Null sources are a source, null languages a language.
+Rows with null or repeated ids are ordinary rows; of equal texts one stays,
+that with the least id. Very long texts are judged and encoded whole. Empty
+tables give no rows; without labels of both classes nothing is toxic.
 """
 
 from __future__ import annotations
@@ -12,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumetry.llm import bpe, divergence, mixing, near_duplicates, toxicity
-from vellumetry.llm.common import materialise, read_table
+from vellumetry.llm.common import fresh, materialise, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    p = toxicity.Params()
+    p, score = toxicity.Params(), fresh(docs.columns, "score")[0]
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), p)
-    return toxicity.score_documents(docs, model, p).where(F.col("score") < p.threshold).drop("score")
+    return toxicity.score_documents(docs, model, p, name=score).where(F.col(score) < p.threshold).drop(score)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
