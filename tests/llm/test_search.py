@@ -76,6 +76,24 @@ def test_odd_documents(odd_docs, no_docs):
     assert N.near_duplicate_classes(no_docs).count() == 0 and N.deduplicate(no_docs).count() == 0
 
 
+def test_recall_by_similarity(words):
+    """Of pairs in each bin of similarity from 0.8 on, at least nine tenths share a band."""
+    rng, p = random.Random(12), N.Params()
+    found = defaultdict(list)
+    for g in range(400):
+        a = words(rng.randint(60, 400), f"bin{g}").split()
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 45))):
+            b[rng.randrange(len(b))] = f"z{rng.random()}"
+        doc, h, count = N.shingle_counts([" ".join(t).encode() for t in (a, b)], p.words)
+        at = np.searchsorted(doc, 1)
+        j = N.weighted_jaccard((h[:at], count[:at]), (h[at:], count[at:]))
+        keys = N.band_keys(N.bag_min_hash(doc, h, count, 2, p.bands * p.rows), p.bands, p.rows)
+        if j >= 0.8:
+            found[int(j * 20)].append((keys[0] == keys[1]).any())
+    assert {16, 17, 18} <= set(found) and all(np.mean(v) >= 0.99 for v in found.values() if len(v) > 20)
+
+
 def test_classes_without_an_id_of_their_own_all_stay(spark, words):
     """Different texts with null or equal ids are different classes; copies and near copies of them are not."""
     a, b, c, d = (words(80, f"own{i}") for i in range(4))
@@ -143,41 +161,76 @@ def nearest(df, p=B.Params()):
     return dict(out), rows
 
 
-def test_small_tables_are_exact(spark):
-    x = np.random.default_rng(1).standard_normal((300, 8)).astype("f4")
-    got, rows = nearest(vectors(spark, x))
-    assert got == brute_nearest(np.arange(300), x.astype("f8"), range(0, 300, 20))
-    assert all(abs(r.score - (x[r.query_id].astype("f8") * x[r.vec_id].astype("f8")).sum()) < 1e-12 for r in rows)
+def brute_rows(rows, queries, k=20):
+    """Every row against every other, ties to the smaller id: (query_id, rank, vec_id, score), in any order."""
+    out = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q in queries:
+            every = sorted((-float((np.array(v, "f4").astype("f8") * np.array(w, "f4").astype("f8")).sum()), c) for j, (c, w) in enumerate(rows) if j != i)
+            out.update((q, r, c, round(-s, 9)) for r, (s, c) in enumerate(every[:k], 1))
+    return out
 
 
-def test_recall_with_partitions(spark):
+@pytest.mark.parametrize("n,structure", [(500, 0), (2000, 0), (4000, 40), (30, 0), (2, 0)])
+def test_recall_at_the_shipped_parameters(spark, n, structure):
+    """The share of vectors ranked is far below all where vectors have structure."""
     rng = np.random.default_rng(2)
-    x = (rng.standard_normal((40, 16))[rng.integers(0, 40, 4000)] + 0.5 * rng.standard_normal((4000, 16))).astype("f4")
-    p = B.Params(part_rows=200, max_sample=1500)
-    got, _ = nearest(vectors(spark, x), p)
-    assert recall(got, brute_nearest(np.arange(4000), x.astype("f8"), range(0, 4000, 20))) >= 0.9
-    assert all(len(v) == 20 for v in got.values())
+    x = rng.standard_normal((n, 16)) * (0.3 if structure else 1)
+    if structure:
+        x += rng.standard_normal((structure, 16))[rng.integers(0, structure, n)]
+    x = x.astype("f4")
+    facts, df = {}, vectors(spark, x)
+    rows = B.nearest(df, F.col("vec_id") % 20 == 0, facts=facts).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id]) and abs(r.score - (x[r.query_id].astype("f8") * x[r.vec_id].astype("f8")).sum()) < 1e-12
+    assert recall(got, brute_nearest(np.arange(n), x.astype("f8"), range(0, n, 20))) >= 0.9
+    assert all(len(v) == min(20, n - 1) for v in got.values())
+    assert facts["parts"] == max(1, min(max(2, round(n**0.5 / 4)), n // 16))
+    order, before = facts["router"].mass(x[::20].astype("f8"))
+    size = np.bincount(facts["router"].ranked(x.astype("f8"))[:, 0], minlength=facts["parts"])
+    if structure:
+        assert (size[order] * (before <= facts["mass"])).sum(1).mean() < 0.5 * n
 
 
 def test_copies_tie_to_the_least_ids(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 6)).astype("f4")
     x[50:150] = x[50]
-    got, _ = nearest(vectors(spark, x))
+    got, _ = nearest(vectors(spark, x), B.Params(recall=1.0))
     assert got == brute_nearest(np.arange(200), x.astype("f8"), range(0, 200, 20))
 
 
+def test_repeated_ids_and_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(5).astype("f4").tolist()) for i in range(60)]
+    rows += rows[20:21] * 3 + rows[:1] + [(20, rng.standard_normal(5).astype("f4").tolist()), (40, rows[3][1]), (3, rows[3][1]), (40, rows[3][1])] + rows[7:8] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in B.nearest(df, F.col("vec_id") % 20 == 0, B.Params(recall=1.0)).collect())
+    assert got == brute_rows(rows, {0, 20, 40})
+    few = rows[:1] * 3
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in B.nearest(spark.createDataFrame(few, df.schema), F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_rows(few, {0})
+
+
 @pytest.mark.parametrize("distinct", [40, 64])
-def test_few_distinct_vectors_are_exact(spark, distinct):
+def test_few_distinct_vectors(spark, distinct):
     x = np.random.default_rng(6).standard_normal((distinct, 8)).astype("f4")[np.arange(5000) % distinct]
-    got, _ = nearest(vectors(spark, x))
+    got, _ = nearest(vectors(spark, x), B.Params(recall=1.0))
     assert got == brute_nearest(np.arange(5000), x.astype("f8"), range(0, 5000, 20))
 
 
+def test_dealt_parts_give_the_same(spark):
+    x = np.random.default_rng(9).standard_normal((700, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert nearest(df, B.Params(spread=50, block=16, query_block=3))[0] == nearest(df)[0]
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (None, [1.0, 1.0]), (20, [0.0, -1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
-    assert nearest(df)[0] == {0: [8, 20], 20: [0, 8]}
+    assert nearest(df)[0] == {0: [8, 8, 20], 20: [0, 8, 8]}
     assert nearest(df.limit(0))[0] == {} and nearest(df.where("vec_id = 3"))[0] == {}
 
 

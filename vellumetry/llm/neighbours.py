@@ -5,19 +5,26 @@
    propagation from balanced centroids).
 2. A small network learns to tell a vector's part; its targets are the parts
    of the vector's neighbours.
-3. Every vector is indexed under its most probable part. A query goes to its
-   most probable parts, as many as give the wanted recall on a held-out part of
-   the sample, and to more where those hold too few vectors. All their vectors
-   are ranked exactly.
+3. Every vector is indexed under its most probable part.
+4. A bounded number of the queries is ranked against all vectors in blocks.
+   From where their true neighbours lie follows the probability mass of parts
+   that gives the wanted recall.
+5. A query goes to its most probable parts until they have that mass, and to
+   more where those hold too few vectors. All their vectors are ranked exactly.
+
+There are about sqrt(rows) / 4 parts, as far as the sample can tell so many
+apart. Vectors without structure have neighbours in most parts; then most parts
+are needed, which step 4 measures and the README states.
 
 Nearness is the inner product in double precision. Vectors that are null,
 empty, zero, or hold null or non-finite components take no part, nor do those
 of another than the most frequent length or with a null id; a query that takes
-no part gives no rows. Repeated rows count once. Of equal vectors, only the
-``k + 1`` least ids can be among any query's nearest, since ties go to them;
-the others are left out before partitions are filled, which bounds a hot
-vector without changing a result. Where few vectors are distinct there is one
-part and the result is exact. Empty tables give no rows.
+no part gives no rows. Repeated rows are candidates, and queries, of their own:
+a query leaves out one row of its id and vector, itself. Equal ids with
+different vectors are different rows. Of equal vectors, only the ``k + 1``
+least ids can be among any query's nearest, since ties go to them; the others
+are left out before partitions are filled, which bounds a hot vector without
+changing a result. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,22 +43,23 @@ from vellumetry.llm.common import materialise, read_table
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    #: vectors that the partitions are learnt from, at most
-    max_sample: int = 4096
-    #: vectors a part holds, about; parts are at most max_parts
-    part_rows: int = 2000
-    max_parts: int = 256
-    #: distinct vectors of the sample below which all is one part
-    min_sample: int = 512
-    graph_neighbours: int = 12
+    #: vectors that the partitions are learnt from: so many a part, within bounds
+    sample_per_part: int = 32
+    min_sample: int = 4096
+    max_sample: int = 16384
+    #: vectors of the sample that a part needs
+    part_sample: int = 16
+    graph_neighbours: int = 16
     hidden: int = 64
     epochs: int = 30
-    recall: float = 0.95
+    #: wanted recall, and the queries by which it is measured
+    recall: float = 0.94
+    calibration: int = 256
     seed: int = 3
     #: vectors and queries of a block
     block: int = 2048
     query_block: int = 1024
-    #: vectors of a part that are dealt to one task, about
+    #: vectors of a part, and queries, that meet in one task, about
     spread: int = 32768
 
 
@@ -78,10 +86,12 @@ def partition_graph(x: np.ndarray, parts: int, p: Params) -> tuple[np.ndarray, n
     """Part of each vector and the neighbours of each."""
     rng = np.random.default_rng(p.seed)
     n = len(x)
-    near = x @ x.T
-    np.fill_diagonal(near, -np.inf)
     k = min(p.graph_neighbours, n - 1)
-    graph = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    graph = np.empty((n, k), "i8")
+    for lo in range(0, n, 1024):
+        near = x[lo : lo + 1024] @ x.T
+        near[np.arange(len(near)), lo + np.arange(len(near))] = -np.inf
+        graph[lo : lo + 1024] = np.argpartition(-near, k - 1, axis=1)[:, :k]
     capacity = -(-n // parts)
     centres = x[rng.choice(n, parts, replace=False)]
     part = np.zeros(n, "i8")
@@ -152,60 +162,68 @@ class Router:
     def ranked(self, x: np.ndarray) -> np.ndarray:
         return np.argsort(-self.probabilities(x), axis=1, kind="stable")
 
+    def mass(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts, most probable first, and the probability of those before each."""
+        found = self.probabilities(x)
+        order = np.argsort(-found, axis=1, kind="stable")
+        found = np.take_along_axis(found, order, 1)
+        return order, np.cumsum(found, axis=1) - found
+
+
+def fit(sample: np.ndarray, n_rows: int, p: Params) -> Router:
+    """The router of a sample of distinct vectors, for a table of so many rows."""
+    return Router(sample, int(max(1, min(wanted_parts(n_rows), len(sample) // p.part_sample))), p)
+
 
-def fit(sample: np.ndarray, n_rows: int, p: Params) -> tuple[Router, int]:
-    """The router, and how many parts a query is sent to."""
-    parts = int(max(1, min(p.max_parts, n_rows // p.part_rows, len(sample) // 16)))
-    if parts == 1 or len(sample) < p.min_sample:
-        return Router(sample, 1, p), 1
-    held = max(64, len(sample) // 8)
-    trial = Router(sample[held:], parts, p)
-    near = sample[:held] @ sample.T
-    near[np.arange(held), np.arange(held)] = -np.inf
-    truth = np.argpartition(-near, p.k - 1, axis=1)[:, : p.k]
-    part = trial.ranked(sample)[:, 0]
-    place = np.argsort(trial.ranked(sample[:held]), axis=1)  # of each part in a query's order
-    needed = np.take_along_axis(place, part[truth], 1)
-    recall = [(needed < t).mean() for t in range(1, parts + 1)]
-    return Router(sample, parts, p), 1 + int(np.searchsorted(recall, p.recall))
+def wanted_parts(n_rows: int) -> int:
+    return max(2, round(n_rows**0.5 / 4))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, d)
 
 
-def _blocks(df: DataFrame, size: int, d: int) -> DataFrame:
-    """(part, deal, id, v) -> blocks (part, ids, vs) of at most ``size`` vectors."""
+def _blocks(df: DataFrame, size: int, d: int, real: str) -> DataFrame:
+    """(part, deal, x, y, z, v) -> blocks (part, deal, xyz, vs) of at most ``size`` vectors."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def emit(part):
-            ids, vs = zip(*held.pop(part))
-            ids, vs = np.concatenate(ids), np.concatenate(vs)
-            for lo in range(0, len(ids), size):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([ids[lo : lo + size].astype("<i8").tobytes()]), pa.array([vs[lo : lo + size].astype("<f8").tobytes()])], ["part", "ids", "vs"])
+        def emit(key):
+            longs, vs = (np.concatenate(x) for x in zip(*held.pop(key)))
+            for lo in range(0, len(longs), size):
+                row = [key[0]], [key[1]], [longs[lo : lo + size].tobytes()], [vs[lo : lo + size].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "deal", "xyz", "vs"])
 
         for b in batches:
-            parts, ids, vs = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), d)
-            for part in np.unique(parts).tolist():
-                mine = parts == part
-                held.setdefault(part, []).append((ids[mine], vs[mine]))
-                if sum(len(i) for i, _ in held[part]) >= size:
-                    yield from emit(part)
-            for part in [x for x in held if x < parts[-1]]:  # rows come sorted by part
-                yield from emit(part)
-        for part in list(held):
-            yield from emit(part)
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy().astype("i8") for i in (0, 1)], 1)
+            longs, vs = np.stack([b.column(i).to_numpy().astype("<i8") for i in (2, 3, 4)], 1), _matrix(b.column(5), d).astype(real)
+            for key in map(tuple, np.unique(keys, axis=0).tolist()):
+                mine = (keys == key).all(1)
+                held.setdefault(key, []).append((longs[mine], vs[mine]))
+                if sum(len(i) for i, _ in held[key]) >= size:
+                    yield from emit(key)
+            last = tuple(keys[-1].tolist())
+            for key in [x for x in held if x < last]:  # rows come sorted by part and deal
+                yield from emit(key)
+        for key in list(held):
+            yield from emit(key)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "part", "deal").sortWithinPartitions("part").select("part", "id", "v").mapInArrow(run, "part long, ids binary, vs binary")
-
-
-def top_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
-    """(query's index, candidate ids, scores) of each query's nearest, without itself."""
-    near = q @ c.T
-    near[q_ids[:, None] == c_ids[None]] = -np.inf
+    return df.repartition(n, "part", "deal").sortWithinPartitions("part", "deal").select("part", "deal", "x", "y", "z", "v").mapInArrow(run, "part long, deal long, xyz binary, vs binary")
+
+
+def top_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, copies: np.ndarray, k: int):
+    """(query's index, candidate ids, copies, scores) of each query's nearest distinct rows, one copy of itself left out."""
+    near, less = q @ c.T, {}
+    for i, j in np.argwhere(q_ids[:, None] == c_ids[None]).tolist():
+        if np.array_equal(q[i], c[j]):
+            if copies[j] > 1:
+                less[i] = j
+            else:
+                near[i, j] = -np.inf
     k = min(k, near.shape[1])
     least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
     slack = 1e-9 * (1 + np.abs(least[np.isfinite(least)]).max(initial=0))
@@ -213,89 +231,135 @@ def top_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
         at = np.flatnonzero((near[i] >= least[i] - slack) & (near[i] > -np.inf))
         score = (q[i] * c[at]).sum(1)  # the same sum wherever a vector stands
         order = np.lexsort((c_ids[at], -score))[:k]
-        yield i, c_ids[at][order], score[order]
+        at = at[order]
+        yield i, c_ids[at], copies[at] - (at == less.get(i, -1)), score[order]
+
 
+def needed_mass(indexed: DataFrame, asked: DataFrame, router: Router, d: int, p: Params) -> float:
+    """The mass of parts within which the wanted share of true neighbours lies, by ``calibration`` queries against all rows."""
+    drawn = asked.orderBy(F.xxhash64("id"), "n").limit(p.calibration).select("id", "v").collect()
+    ids, q = np.array([r.id for r in drawn]), np.array([r.v for r in drawn], "f8")
 
-def nearest(df: DataFrame, queries: Column, p: Params = Params(), *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest."""
+    def run(batches):
+        score, other, part = np.full((len(q), p.k), -np.inf), np.zeros((len(q), p.k), "i8"), np.zeros((len(q), p.k), "i8")
+        for whole in batches:
+            for b in (whole.slice(i, p.block) for i in range(0, whole.num_rows, p.block)):
+                own = b.column(1).to_numpy()
+                near = q @ _matrix(b.column(2), d).T
+                near[ids[:, None] == own[None]] = -np.inf
+                score, other = np.concatenate([score, near], 1), np.concatenate([other, np.broadcast_to(own, near.shape)], 1)
+                part = np.concatenate([part, np.broadcast_to(b.column(0).to_numpy(), near.shape)], 1)
+                best = np.argpartition(-score, p.k - 1, axis=1)[:, : p.k]
+                score, other, part = (np.take_along_axis(x, best, 1) for x in (score, other, part))
+        who, at = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(score[who, at]), pa.array(other[who, at]), pa.array(part[who, at])], ["q", "score", "id", "part"])
+
+    found = indexed.select("part", "id", "v").mapInArrow(run, "q long, score double, id long, part long")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    true = found.withColumn("nth", nth).where(F.col("nth") <= p.k).select("q", "part").collect()  # calibration * k rows at most
+    if not true:
+        return 1.0
+    order, before = router.mass(q)
+    place = np.argsort(order, axis=1)
+    mass = np.sort([before[r.q, place[r.q, r.part]] for r in true])
+    return float(mass[int(np.ceil(p.recall * len(mass))) - 1]) + 1e-9
+
+
+def nearest(df: DataFrame, queries: Column, p: Params = Params(), *, vec_id: str = "vec_id", vector: str = "embedding", facts: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest; ``facts`` takes the number of parts and the mass."""
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    kind = df.select(F.col(vector)).schema[0].dataType.elementType.simpleString()
+    kind, real = ("float", "<f4") if kind == "float" else ("double", "<f8")
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], schema)
     d = lengths.d
-    rows = materialise(rows.where(F.size("v") == d).dropDuplicates(["id", "v"]), "vectors")
+    rows = rows.where(F.size("v") == d).groupBy("id", "v").agg(F.count("*").alias("copies"), F.sum(F.col("q").cast("long")).alias("asked"))
+    rows = materialise(rows, "vectors")
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    base = materialise(rows.withColumn("nth", nth).where(F.col("nth") <= p.k + 1).select("id", "v"), "candidates")
-    drawn = base.orderBy(F.xxhash64("id"), "id").limit(p.max_sample).select("v").collect()
-    sample = np.unique(np.array([r.v for r in drawn]), axis=0)
+    base = materialise(rows.withColumn("nth", nth).where(F.col("nth") <= p.k + 1).select("id", "v", "copies"), "candidates")
+    most = int(min(p.max_sample, max(p.min_sample, p.sample_per_part * wanted_parts(lengths["count"]))))
+    drawn = base.orderBy(F.xxhash64("id"), "id").limit(most).select("v").collect()
+    sample = np.unique(np.array([r.v for r in drawn], "f8"), axis=0)
     sample = sample[np.random.default_rng(p.seed).permutation(len(sample))]
-    router, probes = fit(sample, lengths["count"], p)
+    router = fit(sample, lengths["count"], p)
+    del drawn, sample
 
     def route(batches):
         for b in batches:
             part = router.ranked(_matrix(b.column(1), d))[:, 0] if b.num_rows else np.zeros(0, "i8")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), b.column(1)], ["part", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *b.columns], ["part", "id", "v", "copies"])
 
-    indexed = materialise(base.mapInArrow(route, "part long, id long, v array<double>"), "index")
+    indexed = materialise(base.mapInArrow(route, f"part long, id long, v array<{kind}>, copies long"), "index")
+    asked = materialise(rows.where("asked > 0").select("id", "v", "asked", F.monotonically_increasing_id().alias("n")), "queries")
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], schema)
+    mass = needed_mass(indexed, asked, router, d, p)
+    if facts is not None:
+        facts |= {"parts": router.parts, "mass": mass, "router": router}
     held = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}
     sizes = np.array([held.get(j, 0) for j in range(router.parts)])
-    deals = int(max(1, sizes.max(initial=0) // p.spread))
+    deals = F.element_at(F.array(*(F.lit(int(max(1, -(-n // p.spread)))) for n in sizes)), F.col("part").cast("int") + 1)
+    query_deals = int(-(-n_asked // p.spread))
 
     def send(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            order = router.ranked(_matrix(b.column(1), d))
+            order, before = router.mass(_matrix(b.column(1), d))
             # parts before which fewer than k + 1 vectors were found are needed too
             seen = np.cumsum(sizes[order], axis=1) - sizes[order]
-            wanted = (np.arange(router.parts)[None] < probes) | (seen <= p.k)
-            who, col = np.nonzero(wanted & (sizes[order] > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(order[who, col]), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], ["part", "id", "v"])
+            who, col = np.nonzero(((before <= mass) | (seen <= p.k)) & (sizes[order] > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(order[who, col]), *(c.take(pa.array(who)) for c in b.columns)], ["part", "id", "v", "asked", "n"])
 
-    deal = F.pmod(F.xxhash64("id"), F.lit(deals))
-    candidates = _blocks(indexed.withColumn("deal", deal), p.block, d)
-    asked = _blocks(rows.where("q").select("id", "v").mapInArrow(send, "part long, id long, v array<double>").withColumn("deal", deal), p.query_block, d)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    share = lambda c, n: F.pmod(F.xxhash64(c), n).cast("long")
+    candidates = indexed.select("part", share("id", deals).alias("deal"), F.col("id").alias("x"), F.col("copies").alias("y"), F.lit(0).alias("z"), "v")
+    candidates = _blocks(candidates, p.block, d, real).select("part", "deal", upto(F.lit(query_deals)).alias("qdeal"), "xyz", "vs")
+    sent = asked.mapInArrow(send, f"part long, id long, v array<{kind}>, asked long, n long")
+    sent = sent.select("part", share("n", F.lit(query_deals)).alias("deal"), F.col("n").alias("x"), F.col("id").alias("y"), F.col("asked").alias("z"), "v")
+    sent = _blocks(sent, p.query_block, d, real).select("part", F.col("deal").alias("qdeal"), upto(deals).alias("deal"), F.col("xyz").alias("q_xyz"), F.col("vs").alias("q_vs"))
 
     def rank(batches):
         for b in batches:
-            for q_ids, qs, c_ids, cs in zip(*(c.to_pylist() for c in b.columns)):
-                q_ids, c_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-                q, c = np.frombuffer(qs, "<f8").reshape(-1, d), np.frombuffer(cs, "<f8").reshape(-1, d)
-                out = [(q_ids[i], ids.astype("<i8").tobytes(), score.astype("<f8").tobytes()) for i, ids, score in top_of_block(q, q_ids, c, c_ids, p.k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["query_id", "ids", "scores"])
+            for q_longs, qs, c_longs, cs in zip(*(c.to_pylist() for c in b.columns)):
+                n, q_ids, times = np.frombuffer(q_longs, "<i8").reshape(-1, 3).T
+                c_ids, copies, _ = np.frombuffer(c_longs, "<i8").reshape(-1, 3).T
+                q, c = (np.frombuffer(x, real).astype("f8").reshape(-1, d) for x in (qs, cs))
+                out = [(n[i], q_ids[i], times[i], ids.astype("<i8").tobytes(), own.astype("<i8").tobytes(), score.astype("<f8").tobytes()) for i, ids, own, score in top_of_block(q, q_ids, c, c_ids, copies, p.k)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(),) * 3 + (pa.binary(),) * 3)], ["n", "id", "times", "ids", "copies", "scores"])
 
     def merge(batches):
         """Rows come sorted by query: the lists of one are put together and cut."""
 
-        def emit(done):
-            rows = [], [], [], []
-            for q, lists in done:
-                ids, scores = (np.concatenate([np.frombuffer(x[i], t) for x in lists]) for i, t in ((0, "<i8"), (1, "<f8")))
-                order = np.lexsort((ids, -scores))[: p.k]
-                for column, v in zip(rows, ([q] * len(order), range(1, len(order) + 1), ids[order].tolist(), scores[order].tolist())):
-                    column.extend(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
-
-        at, lists, done = None, [], []
+        def emit(q, times, lists):
+            ids, copies, scores = (np.concatenate([np.frombuffer(x[i], t) for x in lists]) for i, t in ((0, "<i8"), (1, "<i8"), (2, "<f8")))
+            order = np.lexsort((ids, -scores))
+            order = np.repeat(order, np.minimum(copies[order], p.k))[: p.k]
+            rows = len(order)
+            for lo in range(0, times, 512):
+                m = min(512, times - lo)
+                cols = np.full(rows * m, q), np.tile(np.arange(1, rows + 1, dtype="i4"), m), np.tile(ids[order], m), np.tile(scores[order], m)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "rank", "vec_id", "score"])
+
+        at, lists = None, []
         for b in batches:
-            for q, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
-                if q != at and lists:
-                    done.append((at, lists))
+            for n, q, times, *own in zip(*(c.to_pylist() for c in b.columns)):
+                if at and n != at[0]:
+                    yield from emit(*at[1:], lists)
                     lists = []
-                at = q
-                lists.append((ids, scores))
-            if done:
-                yield emit(done)
-                done = []
-        if lists:
-            yield emit([(at, lists)])
-
-    pairs = asked.select("part", F.col("ids").alias("q_ids"), F.col("vs").alias("qs")).join(candidates, "part")
-    found = pairs.select("q_ids", "qs", "ids", "vs").mapInArrow(rank, "query_id long, ids binary, scores binary")
+                at = n, q, times
+                lists.append(own)
+        if at:
+            yield from emit(*at[1:], lists)
+
+    pairs = sent.join(candidates, ["part", "deal", "qdeal"])
+    found = pairs.select("q_xyz", "q_vs", "xyz", "vs").mapInArrow(rank, "n long, id long, times long, ids binary, copies binary, scores binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, schema)
+    return found.repartition(n, "n").sortWithinPartitions("n").mapInArrow(merge, schema)
 
 
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
