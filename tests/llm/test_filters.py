@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vellumetry.llm import divergence as V
 from vellumetry.llm import toxicity as X
@@ -281,15 +282,44 @@ def test_rules(spark):
     assert {r.url: r.r for r in rows} == urls
 
 
+def verdicts(spark, paths, bad, pages=None):
+    """paths: list of url tails; the i-th page's label is bad[i], None for none."""
+    df = spark.createDataFrame([(i, f"http://h.org/{t}") for i, t in enumerate(paths)], "page_id long, url string")
+    numbered = df.withColumn("url", F.concat("url", F.lit("/"), "page_id"))
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad) if b is not None], "key long, bad int")
+    return {r.page_id: r for r in U.judge_urls(numbered, labels).collect()}
+
+
 def test_impure_templates_are_rejected(spark):
-    rows = [(i, f"http://h.org/bad/{i}") for i in range(200)] + [(200 + i, f"http://h.org/good/{200 + i}") for i in range(400)] + [(600 + i, f"http://h.org/u{chr(97 + i % 26)}{chr(97 + i // 26)}/{600 + i}") for i in range(60)]
-    df = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(600)], "key long, bad int")
-    got = {r.page_id: r for r in U.judge_urls(df, labels).collect()}
+    paths = ["bad"] * 200 + ["good"] * 400 + [f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    got = verdicts(spark, paths, [1] * 200 + [0] * 400 + [None] * 60)
     assert {got[i].verdict for i in range(200)} == {"block"} and {got[i].verdict for i in range(200, 660)} == {"allow"}
     assert len({got[i].template for i in range(600, 660)}) == 1  # many rare children: one wildcard
 
 
+def test_few_labels_decide_as_documented(spark):
+    """A dozen labels a host, as in the fixtures, and pages without labels beside them."""
+    kinds = {"all": [1, 1, 1, 1], "most": [1, 1, 1, 1, 0], "half": [1, 1, 0, 0], "some": [1, 0, 0, 0, 0, 0], "none": [0] * 20, "three": [1, 1, 1], "calm": [0] * 8, "unlabelled": []}
+    paths, bad, own = [], [], {}
+    for kind, labels in kinds.items():
+        own[kind] = range(len(paths), len(paths) + len(labels) + 3)
+        paths += [kind] * len(own[kind])
+        bad += labels + [None] * 3
+    got = verdicts(spark, paths, bad)
+    verdict = {k: {got[i].verdict for i in v} for k, v in own.items()}
+    assert verdict["all"] == verdict["most"] == {"block"}
+    assert all(verdict[k] == {"allow"} for k in ("some", "none", "three", "calm", "unlabelled"))
+    assert len({got[i].template.split("/")[1] for k in ("none", "calm") for i in own[k]}) == 1  # alike
+
+
+def test_unlike_siblings_stay_apart_and_deep_paths_are_followed(spark):
+    deep = "/".join("abcdefghijkl")
+    paths = [f"{deep}/bad"] * 12 + [f"{deep}/good"] * 12 + [f"{deep}/fine"] * 12
+    got = verdicts(spark, paths, [1] * 12 + [0] * 24)
+    assert {got[i].verdict for i in range(12)} == {"block"} and {got[i].verdict for i in range(12, 36)} == {"allow"}
+    assert len({got[i].template for i in range(12, 36)}) == 1 and got[0].template.startswith(f"/{deep}/bad")
+
+
 def test_no_pages(spark, pages):
     labels = spark.createDataFrame([], "key long, bad int")
     assert U.judge_urls(pages.limit(0), labels).count() == 0

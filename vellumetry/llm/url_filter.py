@@ -7,20 +7,28 @@ root down, one level at a time:
 1. digits and long hexadecimal runs are variable by their form;
 2. a child of a node with more than ``max_children`` children that holds less
    than ``heavy_share`` of the node's pages is variable: it becomes ``*``;
-3. siblings whose labelled purity doesn't differ from that of all of them
-   (a two-sided test of proportions) are merged into one branch ``~``.
-
-A template is bad if its labelled purity, smoothed towards its host's, which
-is smoothed towards the corpus', reaches ``max_purity``. Templates without
-labels thus follow their host. Segments beyond the ``depth``-th are one segment.
+3. siblings with at least ``min_labels`` labels each are put in order of their
+   purity, and each is compared with the one before it (two-sided test of two
+   proportions); runs that neither differ nor lie on both sides of
+   ``max_purity`` become one branch ``~N``;
+4. a node with fewer labels below it than ``min_labels`` is not split: all that
+   lies below it is one branch ``**``.
+
+A branch with enough labels has its own purity: its share of bad labels,
+smoothed towards the corpus' as if ``smoothing`` more labels had that share. A
+branch with fewer has its parent's. A template is bad if its purity reaches
+``max_purity``: with a small share in the corpus it takes 4 bad labels of 4, 4
+of 5, 6 of 8 and so on, so few labels alone don't reject a template.
 
 Rows are aggregated to distinct paths per host before anything else; what is
-repeated per level is that table, written to the shared storage. A join back
-to pages is salted. Only DataFrame functions are used.
+repeated per level is the part of that table that is still split, written to
+the shared storage. Joins deal the rows of a key out. Only DataFrame functions
+are used.
 
 Null urls and urls without ``://`` have an empty host and path. Null ids and
-repeated rows are ordinary rows. Null labels don't count. An empty table gives
-no rows. Columns other than id and url are not read.
+repeated rows are ordinary rows. Null labels don't count. Without labels every
+url that no rule judges is allowed. Paths may be of any depth. An empty table
+gives no rows. Columns other than id and url are not read.
 """
 
 from __future__ import annotations
@@ -35,17 +43,20 @@ from vellumetry.llm.common import materialise, read_table, salted_join
 
 #: (rule, verdict); a rule is a host, then a path's beginning.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-SALTS = 32
+SALTS = 8
+#: Levels of paths that the SQL follows; deeper branches in it need fewer labels than are looked for.
+SQL_DEPTH = 8
 
 
 @dataclass(frozen=True)
 class Params:
-    depth: int = 8
     max_children: int = 20
     heavy_share: float = 0.05
+    #: labels below which a branch isn't told from its parent
+    min_labels: int = 4
     #: 95 % quantile of chi squared with one degree of freedom
     different: float = 3.841458820694124
-    smoothing: float = 10.0
+    smoothing: float = 4.0
     max_purity: float = 0.5
 
 
@@ -68,55 +79,76 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def segments(path: Column, depth: int) -> Column:
-    """A path's segments without their variable runs; those beyond the depth are one."""
-    shape = F.regexp_replace(path, "[0-9A-Fa-f]{16,}|[0-9]+", "#")
-    parts = F.split(shape, "/", -1)
-    parts = F.slice(parts, 2, F.size(parts))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**")))).otherwise(parts)
+def segments(path: Column) -> Column:
+    """A path's segments without their variable runs."""
+    parts = F.split(F.regexp_replace(path, "[0-9A-Fa-f]{16,}|[0-9]+", "#"), "/", -1)
+    return F.slice(parts, 2, F.size(parts))
+
+
+def _names(at: DataFrame, base: float, p: Params) -> DataFrame:
+    """host, template and child of open nodes -> the child's name in its template, the purity there, and whether that is split."""
+    child = at.where("child IS NOT NULL").groupBy("host", "template", "child").agg(F.max("purity").alias("purity"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"), F.sum("labelled").alias("below"))
+    rare = (F.col("children") > p.max_children) & (F.col("n") < p.heavy_share * F.col("total"))
+    general = F.when(F.col("below") < p.min_labels, F.lit("**")).when(rare, F.lit("*")).otherwise(F.col("child"))
+    child = salted_join(child, node, ["host", "template"], SALTS, F.col("child")).withColumn("general", general)
+    # at most max_children + 1 / heavy_share branches a node from here on
+    branch = child.groupBy("host", "template", "general").agg(F.max("purity").alias("purity"), F.max("below").alias("below"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    branch = branch.withColumn("known", (F.col("labelled") >= p.min_labels) & (F.col("below") >= p.min_labels))
+    own = F.try_divide("bad", "labelled")
+    branch = branch.withColumn("alone", (F.col("bad") + p.smoothing * base) / (F.col("labelled") + p.smoothing))
+    order = Window.partitionBy("host", "template", "known").orderBy("alone", "general")
+    l, b = F.lag("labelled").over(order), F.lag("bad").over(order)
+    other_side = (F.col("alone") >= p.max_purity) != (F.lag("alone").over(order) >= p.max_purity)
+    pooled = (F.col("bad") + b) / (F.col("labelled") + l)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), l))
+    off = own - F.try_divide(b, l)
+    branch = branch.withColumn("differs", F.when(F.col("known"), F.coalesce(F.try_divide(off * off, spread) > p.different, F.lit(False)) | F.coalesce(other_side, F.lit(False))).otherwise(False).cast("int"))
+    branch = branch.withColumn("run", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    alike = F.count("*").over(Window.partitionBy("host", "template", "known", "run"))
+    name = F.when(F.col("known") & (alike > 1), F.concat(F.lit("~"), F.col("run").cast("string"))).otherwise(F.col("general"))
+    branch = branch.withColumn("name", name)
+    of = Window.partitionBy("host", "template", "name")
+    labelled, bad = F.sum("labelled").over(of), F.sum("bad").over(of)
+    purity = F.when(F.col("known"), (bad + p.smoothing * base) / (labelled + p.smoothing)).otherwise(F.col("purity"))
+    branch = branch.select("host", "template", "general", "name", purity.alias("child_purity"), (F.col("general") != "**").alias("split"))
+    return salted_join(child.select("host", "template", "child", "general"), branch, ["host", "template", "general"], SALTS, F.col("child")).drop("general")
 
 
 def templates(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """pages (host, segs, bad: 1, 0 or null) -> host, segs, template and its smoothed purity."""
+    """pages (host, segs, bad: 1, 0 or null) -> host, segs, template and its purity."""
     tree = pages.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = materialise(tree.withColumn("template", F.lit("")), "tree")
-    levels = tree.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(levels):
-        at = tree.withColumn("child", F.get("segs", F.lit(level)))
-        child = at.where("child IS NOT NULL").groupBy("host", "template", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        node = child.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-        rare = (F.col("children") > p.max_children) & (F.col("n") < p.heavy_share * F.col("total"))
-        child = child.join(node, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).withColumn("general", F.when(rare, F.lit("*")).otherwise(F.col("child")))
-        # at most max_children + 1 / heavy_share branches a node from here on
-        branch = child.groupBy("host", "template", "general").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        of = Window.partitionBy("host", "template")
-        branch = branch.withColumns({"pooled": F.try_divide(F.sum("bad").over(of), F.sum("labelled").over(of))})
-        spread = F.col("labelled") * F.col("pooled") * (1 - F.col("pooled"))
-        off = F.col("bad") - F.col("labelled") * F.col("pooled")
-        branch = branch.withColumn("same", F.coalesce(F.try_divide(off * off, spread) <= p.different, F.lit(True)))
-        branch = branch.withColumn("name", F.when(F.col("same") & (F.sum(F.col("same").cast("int")).over(of) > 1), F.lit("~")).otherwise(F.col("general")))
-        names = child.select("host", "template", "child", "general").join(branch.select("host", "template", "general", "name"), ["host", "template", "general"])
-        names = names.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("child").alias("c"), "name")
-        at = at.join(names, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("child") == F.col("c")), "left")
-        grown = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        tree = materialise(at.withColumn("template", grown).select("host", "segs", "n", "labelled", "bad", "template"), "tree")
+    tree = materialise(tree, "tree")
     every = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
     base = (every.b or 0) / every.l if every.l else 0.0
     host = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
-    host = host.select(F.col("host").alias("h"), ((F.col("b") + p.smoothing * base) / (F.col("l") + p.smoothing)).alias("prior"))
-    leaf = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).join(host, F.col("host") == F.col("h"))
-    leaf = leaf.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("b") + p.smoothing * F.col("prior")) / (F.col("l") + p.smoothing)).alias("purity"))
-    return tree.join(leaf, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).select("host", "segs", "template", "purity")
+    host = host.select("host", F.when(F.col("l") >= p.min_labels, (F.col("b") + p.smoothing * base) / (F.col("l") + p.smoothing)).otherwise(F.lit(base)).alias("purity"))
+    tree = salted_join(tree, host, ["host"], SALTS, F.col("segs")).withColumns({"template": F.lit(""), "open": F.lit(True)})
+    tree, done, level = materialise(tree, "tree"), [], 0
+    while not tree.where("open").isEmpty():
+        done.append(tree.where("NOT open"))
+        at = tree.where("open").withColumn("child", F.get("segs", F.lit(level)))
+        at = salted_join(at, _names(at, base, p), ["host", "template", "child"], SALTS, F.col("segs"), "left")
+        new = {
+            "template": F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")),
+            "purity": F.coalesce("child_purity", "purity"),
+            "open": F.coalesce(F.col("split") & (F.size("segs") > level + 1), F.lit(False)),
+        }
+        tree = materialise(at.withColumns(new).select(*tree.columns), "tree")
+        level += 1
+    for part in done:
+        tree = tree.union(part)
+    return tree.select("host", "segs", "template", "purity")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, p: Params = Params(), *, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """pages with labels (key, bad), joined by the last number of a path -> page_id, host, path, rule, verdict, template, purity."""
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = rows.withColumns({"segs": segments(F.col("path"), p.depth), "number": F.expr(r"try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS long)")})
+    rows = rows.withColumns({"segs": segments(F.col("path")), "number": F.expr(r"try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS long)")})
     labels = labels.where("key IS NOT NULL").groupBy("key").agg(F.max("bad").alias("bad")).withColumnRenamed("key", "number")
-    labelled = salted_join(rows, labels, ["number"], 4, F.col("page_id"), "left")
+    labelled = salted_join(rows, labels, ["number"], SALTS, F.xxhash64("page_id", "path"), "left")
     scored = templates(labelled, p)
-    judged = salted_join(rows, scored, ["host", "segs"], SALTS, F.col("page_id"))
+    judged = salted_join(rows, scored, ["host", "segs"], 4 * SALTS, F.xxhash64("page_id", "path"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")
     for r, v in rules:
@@ -140,33 +172,37 @@ def op6_sql(p: Params = Params()) -> str:
     host = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
     rule = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{q}') THEN '{r}'" for r, h, q in sorted(((r, *r.split("/", 1)) for r, _ in RULES), key=lambda x: -len(x[0])))
+    k = f"{p.smoothing}::DOUBLE"
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)
     sql = f"""
 WITH lab AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 u AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
-v AS (SELECT *, string_split(regexp_replace(path, '[0-9A-Fa-f]{{16,}}|[0-9]+', '#', 'g'), '/')[2:] AS parts, TRY_CAST(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS number FROM u),
-w AS (SELECT *, CASE WHEN len(parts) > {p.depth} THEN list_concat(parts[1:{p.depth - 1}], ['**']) ELSE parts END AS segs FROM v),
-t0 AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template FROM w LEFT JOIN lab ON number = key GROUP BY 1, 2)"""
-    for i in range(p.depth):
+w AS (SELECT *, string_split(regexp_replace(path, '[0-9A-Fa-f]{{16,}}|[0-9]+', '#', 'g'), '/')[2:] AS segs, TRY_CAST(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS number FROM u),
+x AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM w LEFT JOIN lab ON number = key GROUP BY 1, 2),
+e AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(labelled), 0), 0) AS base FROM x),
+t0 AS (SELECT *, '' AS template, true AS open, CASE WHEN sum(labelled) OVER o >= {p.min_labels} THEN (sum(bad) OVER o + {k} * (SELECT base FROM e)) / (sum(labelled) OVER o + {k}) ELSE (SELECT base FROM e) END AS purity
+  FROM x WINDOW o AS (PARTITION BY host))"""
+    for i in range(SQL_DEPTH):
         sql += f""",
-a{i} AS (SELECT *, segs[{i + 1}] AS child FROM t{i}),
-c{i} AS (SELECT host, template, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM a{i} WHERE child IS NOT NULL GROUP BY 1, 2, 3),
-g{i} AS (SELECT *, CASE WHEN count(*) OVER o > {p.max_children} AND n < {p.heavy_share}::DOUBLE * sum(n) OVER o THEN '*' ELSE child END AS general FROM c{i} WINDOW o AS (PARTITION BY host, template)),
-b{i} AS (SELECT host, template, general, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad FROM g{i} GROUP BY 1, 2, 3),
-p{i} AS (SELECT *, sum(bad) OVER (PARTITION BY host, template) / nullif(sum(labelled) OVER (PARTITION BY host, template), 0) AS pooled FROM b{i}),
-s{i} AS (SELECT *, coalesce((bad - labelled * pooled) * (bad - labelled * pooled) / nullif(labelled * pooled * (1 - pooled), 0) <= {p.different}::DOUBLE, true) AS same FROM p{i}),
-m{i} AS (SELECT *, CASE WHEN same AND sum(CAST(same AS INT)) OVER (PARTITION BY host, template) > 1 THEN '~' ELSE general END AS name FROM s{i}),
-t{i + 1} AS (SELECT a.host, a.segs, a.n, a.labelled, a.bad, CASE WHEN m.name IS NULL THEN a.template ELSE a.template || '/' || m.name END AS template
-  FROM a{i} a LEFT JOIN g{i} g ON a.host = g.host AND a.template = g.template AND a.child = g.child LEFT JOIN m{i} m ON g.host = m.host AND g.template = m.template AND g.general = m.general)"""
-    last, k = f"t{p.depth}", f"{p.smoothing}::DOUBLE"
+a{i} AS (SELECT *, CASE WHEN open THEN segs[{i + 1}] END AS child FROM t{i}),
+c{i} AS (SELECT host, template, child, max(purity) AS purity, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM a{i} WHERE child IS NOT NULL GROUP BY 1, 2, 3),
+g{i} AS (SELECT *, sum(labelled) OVER o AS below, CASE WHEN sum(labelled) OVER o < {p.min_labels} THEN '**' WHEN count(*) OVER o > {p.max_children} AND n < {p.heavy_share}::DOUBLE * sum(n) OVER o THEN '*' ELSE child END AS general FROM c{i} WINDOW o AS (PARTITION BY host, template)),
+b{i} AS (SELECT host, template, general, max(purity) AS purity, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad, sum(labelled) >= {p.min_labels} AND max(below) >= {p.min_labels} AS known FROM g{i} GROUP BY 1, 2, 3),
+q{i} AS (SELECT *, (bad + {k} * (SELECT base FROM e)) / (labelled + {k}) AS alone FROM b{i}),
+o{i} AS (SELECT *, lag(labelled) OVER o AS l, lag(bad) OVER o AS b, lag(alone) OVER o AS before FROM q{i} WINDOW o AS (PARTITION BY host, template, known ORDER BY alone, general)),
+p{i} AS (SELECT *, (bad + b) / (labelled + l) AS pooled FROM o{i}),
+d{i} AS (SELECT *, CASE WHEN known AND (bad / nullif(labelled, 0) - b / nullif(l, 0)) ^ 2 / nullif(pooled * (1 - pooled) * (1 / nullif(labelled, 0) + 1 / nullif(l, 0)), 0) > {p.different}::DOUBLE THEN 1 WHEN known AND (alone >= {p.max_purity}) <> (before >= {p.max_purity}) THEN 1 ELSE 0 END AS differs FROM p{i}),
+r{i} AS (SELECT *, sum(differs) OVER (PARTITION BY host, template, known ORDER BY alone, general ROWS UNBOUNDED PRECEDING) AS run FROM d{i}),
+m{i} AS (SELECT *, CASE WHEN known AND count(*) OVER (PARTITION BY host, template, known, run) > 1 THEN '~' || CAST(CAST(run AS BIGINT) AS VARCHAR) ELSE general END AS name FROM r{i}),
+n{i} AS (SELECT *, CASE WHEN known THEN (sum(bad) OVER o + {k} * (SELECT base FROM e)) / (sum(labelled) OVER o + {k}) ELSE purity END AS child_purity FROM m{i} WINDOW o AS (PARTITION BY host, template, name)),
+t{i + 1} AS (SELECT a.host, a.segs, a.n, a.labelled, a.bad, CASE WHEN m.name IS NULL THEN a.template ELSE a.template || '/' || m.name END AS template,
+    coalesce(m.general <> '**' AND len(a.segs) > {i + 1}, false) AS open, coalesce(m.child_purity, a.purity) AS purity
+  FROM a{i} a LEFT JOIN g{i} g ON a.host = g.host AND a.template = g.template AND a.child = g.child LEFT JOIN n{i} m ON g.host = m.host AND g.template = m.template AND g.general = m.general)"""
     return (
         sql
         + f""",
-e AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(labelled), 0), 0) AS base FROM {last}),
-h AS (SELECT host, (sum(bad) + {k} * (SELECT base FROM e)) / (sum(labelled) + {k}) AS prior FROM {last} GROUP BY 1),
-l AS (SELECT x.host, template, (sum(bad) + {k} * any_value(prior)) / (sum(labelled) + {k}) AS purity FROM {last} x JOIN h ON x.host = h.host GROUP BY 1, 2),
-y AS (SELECT page_id, host, path, segs, CASE {rule} END AS rule FROM w),
-r AS (SELECT page_id, w.host, path, rule, x.template, purity FROM y w JOIN {last} x ON w.host = x.host AND w.segs = x.segs JOIN l ON x.host = l.host AND x.template = l.template)
-SELECT page_id, host, path, rule, CASE {verdict} WHEN purity >= {p.max_purity} THEN 'block' ELSE 'allow' END AS verdict, template, purity FROM r
+y AS (SELECT page_id, host, path, segs, CASE {rule} END AS rule FROM w)
+SELECT page_id, y.host, path, rule, CASE {verdict} WHEN purity >= {p.max_purity} THEN 'block' ELSE 'allow' END AS verdict, template, purity
+FROM y JOIN t{SQL_DEPTH} t ON y.host = t.host AND y.segs = t.segs
 """
     )
