@@ -213,3 +213,24 @@ def test_large_tables_have_the_same_profile(people, monkeypatch):
     monkeypatch.setattr(P, "LARGE", 1)
     large = P.TableProfile(people).numeric
     assert all(abs(small[c][k] - large[c][k]) < 1e-9 for c in small for k in ("q1", "median", "q3", "outliers"))
+
+
+def test_rows_wider_than_the_header_are_refused(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(FileValidationError):
+        DatasetLoader(spark).load(path)
+    path.write_text('a,b\n1,"two\nlines, and a comma"\n3\n')
+    df, profile = DatasetLoader(spark).load(path)
+    assert [tuple(r) for r in df.collect()] == [("1", "two\nlines, and a comma"), ("3", None)] and profile.n_rows == 2
+
+
+def test_samples_come_from_the_whole_column_and_a_mb_is_binary(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a,b\n" + "1,\n" * 400 + "2,late\n")
+    columns = {c.name: c.sample_values for c in DatasetLoader(spark).load(path)[1].columns}
+    assert columns == {"a": ["1"] * 5, "b": ["late"]}
+    path.write_text("a\n" + "x\n" * ((1 << 19) - 100))
+    assert DatasetLoader(spark, max_file_size_mb=1).load(path)[1].n_rows > 0
+    with pytest.raises(FileValidationError):
+        DatasetLoader(spark, max_file_size_mb=0.9).load(path)

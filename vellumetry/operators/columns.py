@@ -231,13 +231,12 @@ def text_lengths(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def lexical_issues(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Values with edge white space, that aren't numbers, that are infinite, that aren't dates, and lexical classes present."""
+    """Values with edge white space, that aren't numbers, that are infinite, that aren't dates, and lexical classes (numbers, dates, other words) present."""
 
     def stats(c: str) -> dict[str, Column]:
         v, num, when = X.value(df, c), X.number(df, c), X.timestamp(df, c)
         text = v.cast("string")
-        words = X.boolean_like(df, c) & num.isNull()
-        classes = [F.max(F.when(test, 1).otherwise(0)) for test in (num.isNotNull(), num.isNull() & when.isNotNull(), words, v.isNotNull() & num.isNull() & when.isNull() & ~words)]
+        classes = [F.max(F.when(test, 1).otherwise(0)) for test in (num.isNotNull(), num.isNull() & when.isNotNull(), v.isNotNull() & num.isNull() & when.isNull())]
         return {
             "whitespace": F.count_if(text.rlike(X.EDGE_SPACE)),
             "non_numeric": F.count_if(v.isNotNull() & num.isNull()),

@@ -272,12 +272,6 @@ def duplicate_auto_subset(spark, sf):
     return spark.createDataFrame([(c,) for c in duplicates.auto_subset(table(spark, sf, "customer"))], "name string")
 
 
-@query("SELECT 'p_size' AS kept, 'size_copy' AS dropped")
-def duplicate_columns(spark, sf):
-    p = table(spark, sf, "part").withColumn("size_copy", F.col("p_size")).withColumn("near", F.when(F.col("p_partkey") == 1, 0).otherwise(F.col("p_size")))
-    return spark.createDataFrame(duplicates.duplicate_columns(p), "kept string, dropped string")
-
-
 # ---- outliers ----------------------------------------------------------------------
 
 
@@ -346,13 +340,6 @@ def correlation_kendall(spark, sf):
     return correlation.correlations(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "kendall").withColumn("r", F.round("r", 6))
 
 
-@query("SELECT * FROM (VALUES ('p_size', 'size_copy', 'exact_duplicate'), ('p_size', 'twice', 'near_duplicate_correlation')) v(kept_column, dropped_column, reason)")
-def redundant_features(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_size").alias("size_copy"), (F.col("p_size") * 2).alias("twice"))
-    found = correlation.FeatureCorrelationAnalyzer().analyze(p).redundant_columns
-    return spark.createDataFrame([(r["kept_column"], r["dropped_column"], r["reason"]) for r in found], "kept_column string, dropped_column string, reason string")
-
-
 # ---- association -------------------------------------------------------------------
 
 
@@ -373,13 +360,6 @@ def contingency_table(spark, sf):
     return A.contingency(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query()
-def target_association(spark, sf):
-    o = table(spark, sf, "orders")
-    found = A.target_association(o, "o_totalprice", C.resolve_kinds(o))["rankings"]
-    return spark.createDataFrame([(r["feature"], r["association"], r["method"], r["strength"], r["possible_leakage"]) for r in found], "feature string, association double, method string, strength string, possible_leakage boolean")
-
-
 @query(f"SELECT name, ordinal, round(r, 4) AS r, round(abs(r), 4) AS score FROM ({rows_of(['l_quantity', 'l_discount', 'l_tax'], lambda c, i: f'corr({c}, l_extendedprice) AS r', 'lineitem')})")
 def abs_corr_target(spark, sf):
     return A.abs_correlation_with(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
@@ -421,12 +401,6 @@ def quality_issues(spark, sf):
     return _issues(spark, labelled(spark, sf))
 
 
-@query()
-def quality_score_b(spark, sf):
-    r = scores.QualityAnalyzer().analyze(labelled(spark, sf))
-    return spark.createDataFrame([(r["score"], r["grade"], *r["dimensions"].values())], "score double, grade string, completeness double, uniqueness double, consistency double")
-
-
 @query("""SELECT * FROM (VALUES ('o_orderkey', 'drop', 'All values unique - looks like an identifier column.')) v("column", action, detail)""")
 def feature_drop_recommendations(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").withColumnRenamed("o_orderkey", "o_key").withColumnRenamed("o_key", "o_orderkey")
@@ -449,26 +423,4 @@ def feature_scale_recommendations(spark, sf):
     return spark.createDataFrame([(r["column"], r["strategy"]) for r in found], "column string, strategy string")
 
 
-@query("""SELECT * FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'identifier'), ('c_nationkey', 'numeric'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'categorical')) v(name, role)""")
-def feature_roles(spark, sf):
-    found = R.FeatureInsightAnalyzer().analyze(table(spark, sf, "customer"))["features"]
-    return spark.createDataFrame([(f["name"], f["role"]) for f in found], "name string, role string")
-
-
-@query()
-def ml_readiness_dimensions(spark, sf):
-    r = scores.MLReadinessScorer().score(table(spark, sf, "orders"), "o_orderstatus")
-    return spark.createDataFrame([(d.name, d.score, d.weight) for d in r.dimensions], "dimension string, score double, weight double")
-
-
-@query()
-def structured_report(spark, sf):
-    """Section statuses and headline figures of the whole report on orders."""
-    from vellumetry.plans.report import ReportStructuringEngine
-
-    report = ReportStructuringEngine().build(table(spark, sf, "orders"), "orders", target="o_orderstatus")
-    rows = [(k, s.status, s.error) for k, s in report.sections.items()]
-    return spark.createDataFrame(rows, "section string, status string, error string")
-
-
 __all__ = ["QUERIES", "SQL"]

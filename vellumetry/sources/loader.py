@@ -122,7 +122,7 @@ class DatasetLoader:
             size = at.stat().st_size
             if not size:
                 raise FileValidationError(f"File is empty (0 bytes): {path}")
-            if self.max_mb is not None and size > self.max_mb * 1e6:
+            if self.max_mb is not None and size > self.max_mb * 1024 * 1024:
                 raise FileValidationError(f"File is larger than {self.max_mb} MB: {path}")
         return "csv" if suffix in DELIMITED else "excel"
 
@@ -133,9 +133,15 @@ class DatasetLoader:
             raise EmptyDatasetError(f"{path} holds no data.")
         sep = sniff_delimiter(head)
         header = next(csv.reader(io.StringIO(head), delimiter=sep))
-        schema = ", ".join(f"_c{i} string" for i in range(len(header)))
-        options = {"sep": sep, "header": True, "enforceSchema": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
+        # a line with an odd number of quotes is part of a cell of several lines; other files are read in parallel
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        several = not self.spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+        schema = ", ".join(f"_c{i} string" for i in range(len(header) + 1))
+        options = {"sep": sep, "header": True, "enforceSchema": True, "multiLine": several, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
         df = self.spark.read.options(**options).schema(schema).csv(path)
+        if not df.where(F.col(f"_c{len(header)}").isNotNull()).isEmpty():
+            raise ValueError(f"a row has more than the header's {len(header)} cells")
+        df = df.drop(f"_c{len(header)}")
         return df.select(*(F.when(~F.col(c).isin(X.NA_TOKENS), F.col(c)).alias(c) for c in df.columns)), header
 
     def _workbook(self, path: str, sheet: int | str) -> tuple[DataFrame, list[str | None]]:
@@ -154,5 +160,7 @@ class DatasetLoader:
             for c in df.columns:
                 if r[c] is not None and len(sample[c]) < C.SAMPLE_VALUES:
                     sample[c].append(str(r[c]))
+        for c in (c for c in df.columns if len(sample[c]) < C.SAMPLE_VALUES):  # few values in the first rows
+            sample[c] = [str(r[0]) for r in df.where(X.col(c).isNotNull()).select(X.col(c)).limit(C.SAMPLE_VALUES).collect()]
         columns = [LoadedColumn(r.name, r.dtype, types[r.name], r.missing_count, r.missing_percentage, r.unique_count, sample[r.name]) for r in sorted(rows, key=lambda r: r.ordinal)]
         return DatasetProfile(source_file, file_type, df.count(), len(df.columns), columns, warnings or [])
