@@ -53,6 +53,59 @@ def check_shards(back, docs, n):
     assert set(by) <= set(range(n)) and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_flow_has_least_cost_at_any_costs():
+    rng = random.Random(21)
+    for _ in range(60):
+        old = [rng.randint(0, 4) for _ in range(rng.randint(1, 3))]
+        new = S.even_capacities(sum(old), rng.randint(1, 3))
+        costs = [[rng.randint(0, 5) for _ in new] for _ in old]
+        flow = S.min_cost_flow(old, new, lambda i, j: costs[i][j])  # noqa: B023
+        assert [sum(b for (i, _), b in flow.items() if i == k) for k in range(len(old))] == old
+        assert [sum(b for (_, j), b in flow.items() if j == k) for k in range(len(new))] == new
+        least = {tuple(new): 0}  # room left -> cost, byte by byte
+        for i, b in enumerate(old):
+            for _ in range(b):
+                after = {}
+                for room, c in least.items():
+                    for j, r in enumerate(room):
+                        if r:
+                            key = room[:j] + (r - 1,) + room[j + 1 :]
+                            after[key] = min(after.get(key, 1 << 30), c + costs[i][j])
+                least = after
+        assert sum(b * costs[i][j] for (i, j), b in flow.items()) == least[(0,) * len(new)]
+
+
+def test_whole_blocks_keep_to_their_bound():
+    rng = random.Random(22)
+    for n_old, n_new in ((1, 24), (5, 24), (30, 8), (7, 7)):
+        sizes = {(i, k): (rng.randint(1, 900), 1) for i in range(n_old) for k in range(400 // n_old)}
+        plan, largest = S.assign_blocks(sizes, n_old, n_new, 400), max(b for b, _ in sizes.values())
+        old = [sum(b for (i, _), (b, _) in sizes.items() if i == k) for k in range(n_old)]
+        new = S.even_capacities(sum(old), n_new)
+        best = sum(old) - sum(map(min, old, new))
+        held = Counter()
+        for key, (j, _) in plan.blocks.items():
+            held[j] += sizes[key][0]
+        assert max(held[j] - new[j] for j in range(n_new)) <= largest
+        assert best <= plan.moved + largest * len(plan.flow) and plan.moved <= best + largest * len(plan.flow)
+
+
+def test_the_query_on_several_files(spark, words, tmp_path):
+    import zlib
+
+    rows = [(i if i % 9 else None, None if i % 50 == 0 else words(1 + i % 40, f"q{i % 300}")) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op1_reshard(spark, str(tmp_path)).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, crc(t)) for i, t in rows)
+    held, slots = Counter(), defaultdict(list)
+    for r in got:
+        held[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(held) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(held.values()) < 1.2 * sum(held.values()) / 24 and {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
+
+
 def test_rewrites_all_rows(spark, odd_docs):
     back, plan = S.rewrite_shards(odd_docs, F.col("source"), 3, work_dir(spark, "s"))
     assert set(odd_docs.columns) == set(back.columns)

@@ -8,9 +8,11 @@ same place, so what stays costs nothing and a moved byte costs one.
    the unit of a transfer. Only block sizes reach the driver; their number is
    bounded by ``MAX_BLOCKS`` and by 64 bytes of a hash for each old shard.
 2. ``min_cost_flow`` solves old shards -> new shards with successive shortest
-   paths over the shard graph. It moves the fewest bytes.
+   paths over the residual shard graph. It moves the fewest bytes.
 3. ``assign_blocks`` makes the flow of whole blocks: each arc takes the blocks,
-   largest first, that still fit; what fits nowhere goes where most room is.
+   largest first, that still fit; what fits nowhere goes where most room is. So
+   no shard is above its capacity by more than the largest block, and what moves
+   is at most the flow's optimum and a largest block for each arc of the flow.
 4. ``reshard`` gives each document its shard and a gapless slot in it.
    ``rewrite_shards`` writes the affected shards' files; a shard that loses and
    gains nothing keeps its old file.
@@ -24,6 +26,7 @@ gives no rows. Columns other than id and text are carried through by
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vellumetry.llm.common import read_table, work_dir
+from vellumetry.llm.common import fresh, read_table, work_dir
 
 #: No more blocks than this reach the driver (unless there are more old shards).
 MAX_BLOCKS = 1 << 19
@@ -48,31 +51,86 @@ def even_capacities(total: int, n: int) -> list[int]:
     return [total * (i + 1) // n - total * i // n for i in range(n)]
 
 
-def min_cost_flow(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
-    """Bytes from each old to each new shard; their sums are ``old`` and ``new``. Staying is free, moving costs 1 a byte.
+def min_cost_flow(old: list[int], new: list[int], cost: Callable[[int, int], int] = lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
+    """Bytes from each old to each new shard, at least cost; their sums are ``old`` and ``new``.
 
-    Successive shortest paths. With costs of 0 and 1 the shortest path is a
-    direct arc while supply and demand remain, zero-cost arcs first, so it
-    never needs a residual arc: cancelling a stay costs what a move saves.
+    Successive shortest paths over the residual graph of source, old shards, new
+    shards and sink, whose arcs may have any costs of 0 or more (by default
+    staying is free and moving costs 1 a byte). Each round finds all nodes'
+    distances by reduced costs and then fills shortest paths until none is left,
+    so there are no more rounds than different path costs.
     """
     if sum(old) != sum(new):
         raise ValueError("old sizes and new capacities must have the same sum")
-    supply, demand, flow = list(old), list(new), {}
-    for i in range(min(len(old), len(new))):
-        if stays := min(supply[i], demand[i]):
-            flow[i, i] = stays
-            supply[i] -= stays
-            demand[i] -= stays
-    j = 0
-    for i in range(len(supply)):
-        while supply[i]:
-            while not demand[j]:
-                j += 1
-            moved = min(supply[i], demand[j])
-            flow[i, j] = flow.get((i, j), 0) + moved
-            supply[i] -= moved
-            demand[j] -= moved
-    return flow
+    n, m = len(old), len(new)
+    source, sink = n + m, n + m + 1
+    head, room, price = [], [], []  # arc k and its way back k ^ 1
+    leaving: list[list[int]] = [[] for _ in range(n + m + 2)]
+
+    def arc(u: int, v: int, capacity: int, c: int) -> None:
+        for x, y, r, p in ((u, v, capacity, c), (v, u, 0, -c)):
+            leaving[x].append(len(head))
+            head.append(y)
+            room.append(r)
+            price.append(p)
+
+    for i, b in enumerate(old):
+        arc(source, i, b, 0)
+        for j in range(m if b else 0):
+            if new[j]:
+                arc(i, n + j, b, cost(i, j))
+    first = {}
+    for i in range(n):
+        for k in leaving[i]:
+            if k % 2 == 0:
+                first[i, head[k] - n] = k
+    for j, b in enumerate(new):
+        arc(n + j, sink, b, 0)
+
+    potential, left = [0] * (n + m + 2), sum(old)
+    while left:
+        far = [None] * (n + m + 2)
+        heap = [(0, source)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if far[u] is not None:
+                continue
+            far[u] = d
+            for k in leaving[u]:
+                if room[k] and far[head[k]] is None:
+                    heapq.heappush(heap, (d + price[k] + potential[u] - potential[head[k]], head[k]))
+        most = far[sink]
+        potential = [p + (most if d is None else min(d, most)) for p, d in zip(potential, far)]
+        at, dead = [0] * (n + m + 2), [False] * (n + m + 2)
+        path, on = [], {source}
+        u = source
+        while True:
+            if u == sink:
+                b = min(room[k] for k in path)
+                left -= b
+                for k in path:
+                    room[k] -= b
+                    room[k ^ 1] += b
+                path, on, u = [], {source}, source
+                continue
+            while at[u] < len(leaving[u]):
+                k = leaving[u][at[u]]
+                v = head[k]
+                if room[k] and not dead[v] and v not in on and price[k] + potential[u] == potential[v]:
+                    break
+                at[u] += 1
+            else:
+                dead[u] = True
+                if not path:
+                    break
+                on.discard(u)
+                k = path.pop()
+                u = head[k ^ 1]
+                continue
+            path.append(k)
+            on.add(v)
+            u = v
+    return {key: room[k ^ 1] for key, k in first.items() if room[k ^ 1]}
 
 
 @dataclass
@@ -156,15 +214,17 @@ def reshard(df: DataFrame, old: Column, plan: Plan, numbers: dict, *, doc_id: st
     names = {i: name for name, i in numbers.items()}
     schema = T.StructType([T.StructField("__old", T.StringType()), T.StructField("__k", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("__first", T.LongType())])
     table = spark.createDataFrame([(names[i], k, j, first) for (i, k), (j, first) in sorted(plan.blocks.items())], schema)
-    keyed = df.drop("shard", "slot").withColumns({"__old": old.cast("string"), "__k": F.pmod(F.xxhash64(doc_id, text), F.lit(plan.n_blocks))})
-    table = F.broadcast(table.withColumnsRenamed({"__old": "__o", "__k": "__b"}))
-    placed = keyed.join(table, F.col("__old").eqNullSafe(F.col("__o")) & (F.col("__k") == F.col("__b")))
+    own, k, of, block, first = fresh([*df.columns, "shard", "slot"], "own", "k", "of", "block", "first")
+    # ``old`` may name a column that is replaced
+    keyed = df.withColumns({own: old.cast("string"), k: F.pmod(F.xxhash64(doc_id, text), F.lit(plan.n_blocks))}).drop("shard", "slot")
+    table = F.broadcast(table.withColumnsRenamed({"__old": of, "__k": block, "__first": first}))
+    placed = keyed.join(table, F.col(own).eqNullSafe(F.col(of)) & (F.col(k) == F.col(block)))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan.n_new)
     # equal (shard, first slot) means the same block, or an empty one before it
-    placed = placed.repartitionByRange(n, "shard", "__first")
-    order = Window.partitionBy("shard", "__first").orderBy(F.col(doc_id).asc_nulls_first(), F.xxhash64(text))
-    placed = placed.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1)
-    return placed.drop("__old", "__k", "__o", "__b", "__first")
+    placed = placed.repartitionByRange(n, "shard", first)
+    order = Window.partitionBy("shard", first).orderBy(F.col(doc_id).asc_nulls_first(), F.xxhash64(text))
+    placed = placed.withColumn("slot", F.col(first) + F.row_number().over(order) - 1)
+    return placed.drop(own, k, of, block, first)
 
 
 def rewrite_shards(df: DataFrame, old: Column, n_new: int, folder: str, capacities: list[int] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Plan]:
@@ -183,7 +243,7 @@ def rewrite_shards(df: DataFrame, old: Column, n_new: int, folder: str, capaciti
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that hold the documents are the old shards; 24 new ones of nearly equal bytes."""
     docs = read_table(spark, sf_dir, "documents")
-    at = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"))
+    at = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("__file"))
     back, _ = rewrite_shards(at, F.col("__file"), 24, work_dir(spark, "shards"))
     return back.select(
         "doc_id",
