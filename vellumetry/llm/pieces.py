@@ -19,9 +19,9 @@ class PieceEncoder:
     ``encode_many`` turns a list of strings into a list of id lists and defines
     the result; ``encode_pieces`` does so for pieces that each follow a space,
     if there is a faster way for them. The memo holds at most ``limit`` pieces of up to ``longest``
-    characters; when it is full it starts anew, so memory is bounded. An encoder
-    belongs to one task; ``close`` gives its memory back before the task ends,
-    since the process may go on to run others.
+    characters; when it is full it starts anew, so memory is bounded. ``close`` gives
+    the memory back; an encoder of one task is closed before that ends, since
+    the process may go on to run others.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable], dtype: str = "<u4", limit: int = 200_000, longest: int = 48, encode_pieces: Callable[[list[str]], Iterable] | None = None):

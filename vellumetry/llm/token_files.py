@@ -24,7 +24,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from contextlib import closing
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -39,6 +38,17 @@ from vellumetry.llm.pieces import PieceEncoder
 END_ID = 2
 #: Documents encoded at a time; bounds the memory of their pieces.
 CHUNK = 512
+#: Pieces that a worker remembers. Tasks of one worker share them: a memo for each task costs a half more.
+MEMO = 600_000
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def worker_encoder(path: str, dtype: str) -> PieceEncoder:
+    """One encoder a Python worker, with a memo of bounded size; another tokenizer takes its place."""
+    if (path, dtype) not in _encoders:
+        _encoders.clear()
+        _encoders[path, dtype] = library_encoder(path, dtype)
+    return _encoders[path, dtype]
 
 
 def library_encoder(path: str, dtype: str) -> PieceEncoder:
@@ -62,7 +72,7 @@ def library_encoder(path: str, dtype: str) -> PieceEncoder:
             return encode_many([" " + p for p in pieces])
         return np.split(ids, at[:-1])
 
-    return PieceEncoder(encode_many, dtype, encode_pieces=encode_pieces)
+    return PieceEncoder(encode_many, dtype, MEMO, encode_pieces=encode_pieces)
 
 
 def _byte_lengths(tok) -> np.ndarray:
@@ -103,7 +113,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = library_encoder(tokenizer, dtype)
+        encoder = worker_encoder(tokenizer, dtype)
         n_docs = at = 0
         first = next(batches, None)
         if first is None:
@@ -115,7 +125,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
                     yield b.slice(lo, CHUNK)
 
         names = [f"part-{part:06d}.{x}" for x in ("bin", "off", "doc", "nul")]
-        with closing(encoder), AtomicFile(folder, names[0]) as bin_, AtomicFile(folder, names[1]) as off, AtomicFile(folder, names[2]) as doc, AtomicFile(folder, names[3]) as nul:
+        with AtomicFile(folder, names[0]) as bin_, AtomicFile(folder, names[1]) as off, AtomicFile(folder, names[2]) as doc, AtomicFile(folder, names[3]) as nul:
             off.write(np.zeros(1, "<i8").tobytes())
             for b in rest():
                 ids = b.column(0)
