@@ -5,6 +5,7 @@ import pytest
 from vellumetry.operators import association as A
 from vellumetry.operators import correlation as K
 from vellumetry.operators import outliers as O
+from vellumetry.operators import ranks as R
 from vellumetry.operators.ranks import exact_quantiles, prefix_counts
 
 
@@ -116,3 +117,31 @@ def test_prefix_counts_over_ranges(spark):
     for _, v, m in rows:
         assert got[v] == before
         before += m
+
+
+@pytest.mark.parametrize("case", ["random", "heavy", "few"])
+def test_kendall_over_blocks_equals_brute_force(spark, monkeypatch, case):
+    monkeypatch.setattr(K, "BLOCK_PAIRS", 20)
+    rng = np.random.default_rng(8)
+    x, y = {
+        "random": (rng.normal(size=700), rng.normal(size=700)),
+        "heavy": (np.where(rng.random(700) < 0.4, 0.0, rng.normal(size=700)), np.where(rng.random(700) < 0.3, 1.0, rng.normal(size=700))),
+        "few": (rng.integers(0, 30, 700) * 1.0, rng.integers(0, 40, 700) * 1.0),
+    }[case]
+    y = y + 0.5 * np.round(x)
+    i, j = np.triu_indices(700, 1)
+    a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+    want = (a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum())
+    got = K.correlations(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), method="kendall").first().r
+    assert abs(got - want) < 1e-9
+
+
+def test_quantiles_of_misplaced_brackets_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(size=3001), "b": rng.integers(0, 5, 3001) * 1.0, "c": np.exp(rng.normal(size=3001) * 4)})
+    df, at = spark.createDataFrame(pdf), (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for accuracy in (50_000, 20):  # the second brackets roughly
+        monkeypatch.setattr(R, "ACCURACY", accuracy)
+        got = R.quantile_values(df, at)
+        assert len(got) == 18 and all(abs(v - pdf[c].quantile(q)) <= 1e-9 * abs(v) for (c, q), v in got.items())
+    assert R.quantile_values(df.where("a > 1e9"), at) == {}

@@ -114,9 +114,3 @@ def pearson(x: Column, y: Column) -> Column:
     both = finite(x).isNotNull() & finite(y).isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
-
-
-def quantiles(c: Column, approximate: bool = False) -> Column:
-    """[q1, median, q3], interpolated linearly. Exact ones keep a count a distinct value."""
-    at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
-    return F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) if approximate else F.percentile(c, at)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellumetry.functions import expressions as X
 from vellumetry.operators import columns as C
 from vellumetry.operators.duplicates import ROW_ID, with_row_id
+from vellumetry.operators.ranks import quantile_values
 
 METHODS = ("iqr", "zscore")
 
@@ -24,22 +25,25 @@ def fences(df: DataFrame, columns: Iterable[str], method: str = "iqr", *, k: flo
     if method not in METHODS:
         raise ValueError(f"Unknown outlier method '{method}'.")
     wide = lambda: F.lit(None).cast("double")
+    names = list(columns)
+    number = lambda c: X.finite(X.number(df, c)) if guarded else X.number(df, c)
+    quartiles = quantile_values(df.select(*(number(c).alias(c) for c in names)), (0.25, 0.75)) if method == "iqr" else {}
 
     def stats(c: str) -> dict[str, Column]:
-        v = X.finite(X.number(df, c)) if guarded else X.number(df, c)
+        v = number(c)
         n = F.count(v)
         if method == "iqr":
-            q = X.quantiles(v)
-            reach = k * (q[2] - q[0])
-            lower, upper = q[0] - reach, q[2] + reach
-            ok = (n >= 4) & (q[2] != q[0]) if guarded else F.lit(True)
+            q1, q3 = (F.lit(quartiles.get((c, at))).cast("double") for at in (0.25, 0.75))
+            reach = k * (q3 - q1)
+            lower, upper = q1 - reach, q3 + reach
+            ok = (n >= 4) & (q3 != q1) if guarded else F.lit(True)
         else:
             reach = threshold * F.stddev_samp(v)
             lower, upper = F.avg(v) - reach, F.avg(v) + reach
             ok = F.coalesce(F.stddev_samp(v) > 0, F.lit(False))
         return {"count": n, "lower": F.when(ok, lower).otherwise(wide()), "upper": F.when(ok, upper).otherwise(wide())}
 
-    return C.per_column(df, list(columns), stats)
+    return C.per_column(df, names, stats)
 
 
 def _bounds(table: DataFrame) -> dict[str, tuple]:
