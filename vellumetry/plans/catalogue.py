@@ -36,13 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---- inputs -----------------------------------------------------------------
 
-LABELLED = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+LABELLED = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their labels; most have none."""
-    d, l = table(spark, sf, "documents").drop("text"), table(spark, sf, "labels").withColumnRenamed("doc_id", "l_id")
-    return d.join(l, d.doc_id == l.l_id, "left").select("doc_id", "lang", "source", "n_chars", "quality", "toxic")
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels").withColumnRenamed("doc_id", "l_id")
+    return d.join(l, d.doc_id == l.l_id, "left").select(*LABELLED_COLUMNS)
 
 
 JUNK = """(SELECT o_orderkey AS id,
@@ -71,7 +71,8 @@ def rows_of(columns: list[str], select: Callable[[str, int], str], source: str)
 
 PCT = "coalesce(round(CAST({0} AS DOUBLE) / nullif({1}, 0) * 100, 2), 0)"
 LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-LABELLED_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+LINEITEM_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+LABELLED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 # ---- missing values and profiles ----------------------------------------------
@@ -91,7 +92,7 @@ def worst_columns(spark, sf):
 
 
 @query(f"""SELECT *, {PCT.format('missing_cells', '(row_count * column_count)')} AS missing_percentage FROM (
-  SELECT count(*) AS row_count, 6 AS column_count, {' + '.join(f'count(*) - count({c})' for c in LABELLED_COLUMNS)} AS missing_cells FROM {LABELLED})""")
+  SELECT count(*) AS row_count, {len(LABELLED_COLUMNS)} AS column_count, {' + '.join(f'count(*) - count({c})' for c in LABELLED_COLUMNS)} AS missing_cells FROM {LABELLED})""")
 def dataset_profile_summary(spark, sf):
     return C.dataset_summary(labelled(spark, sf))
 
@@ -203,7 +204,7 @@ def category_top_n_other(spark, sf):
 @query(counts_sql(["event_type"], "events", 10))
 def categorical_summary_all(spark, sf):
     e = table(spark, sf, "events")
-    return frequency.category_counts(e, frequency.categorical_columns(e.drop("props")), 10)
+    return frequency.category_counts(e, frequency.categorical_columns(e), 10)
 
 
 def top_sql(columns: list[str], source: str, n: int) -> str:
@@ -251,9 +252,11 @@ def density_curve(spark, sf):
 # ---- duplicates --------------------------------------------------------------------
 
 
-@query("SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_tax FROM lineitem)) AS duplicate_rows FROM lineitem")
+@query("WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0) SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_rows FROM t")
 def duplicate_rows_full(spark, sf):
-    return duplicates.duplicate_count(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_tax"))
+    """Of all columns; the table has no copies, so rows are repeated."""
+    l = table(spark, sf, "lineitem")
+    return duplicates.duplicate_count(l.unionAll(l.where(F.col("l_orderkey") % 10 == 0)))
 
 
 @query("SELECT count(*) - count(DISTINCT text) AS duplicate_rows FROM documents")
@@ -309,7 +312,7 @@ PART_COLUMNS = ["p_partkey", "p_size", "p_retailprice", "near"]
 
 
 def part_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") * 2 + F.when(F.col("p_partkey") % 10 == 0, 5).otherwise(0)).alias("near"))
+    return table(spark, sf, "part").withColumn("near", F.col("p_size") * 2 + F.when(F.col("p_partkey") % 10 == 0, 5).otherwise(0))
 
 
 def pairs_sql(columns: list[str], source: str) -> str:
@@ -318,12 +321,12 @@ def pairs_sql(columns: list[str], source: str) -> str:
 
 @query(f"SELECT column_a, column_b, i, j, round(r, 6) AS r FROM ({pairs_sql(PART_COLUMNS, PART)})")
 def correlation_pearson(spark, sf):
-    return correlation.correlations(part_numbers(spark, sf), PART_COLUMNS).withColumn("r", F.round("r", 6))
+    return correlation.correlations(part_numbers(spark, sf)).withColumn("r", F.round("r", 6))
 
 
 @query(f"SELECT column_a, column_b, round(r, 4) AS correlation, CASE WHEN abs(round(r, 4)) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength, i, j FROM ({pairs_sql(PART_COLUMNS, PART)}) WHERE abs(round(r, 4)) >= 0.4")
 def notable_pairs(spark, sf):
-    return correlation.notable_pairs(correlation.correlations(part_numbers(spark, sf), PART_COLUMNS))
+    return correlation.notable_pairs(correlation.correlations(part_numbers(spark, sf)))
 
 
 @query("""SELECT 'l_quantity' AS column_a, 'l_extendedprice' AS column_b, 0 AS i, 1 AS j, round(corr(x, y), 6) AS r FROM (
@@ -380,7 +383,7 @@ def coefficient_of_variation(spark, sf):
 
 @query(f"""WITH t AS (SELECT * FROM {LABELLED}), q AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3, quantile_cont(doc_id, 0.25) AS d1, quantile_cont(doc_id, 0.75) AS d3 FROM t),
 v AS (SELECT count(*) FILTER (WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1) OR doc_id < d1 - 1.5 * (d3 - d1) OR doc_id > d3 + 1.5 * (d3 - d1)) AS o FROM t, q)
-SELECT 'completeness' AS dimension, round(100 - CAST({' + '.join(f'count(*) - count({c})' for c in LABELLED_COLUMNS)} AS DOUBLE) / (count(*) * 6) * 100, 2) AS score, CAST(0.35 AS DOUBLE) AS weight FROM t
+SELECT 'completeness' AS dimension, round(100 - CAST({' + '.join(f'count(*) - count({c})' for c in LABELLED_COLUMNS)} AS DOUBLE) / (count(*) * {len(LABELLED_COLUMNS)}) * 100, 2) AS score, CAST(0.35 AS DOUBLE) AS weight FROM t
 UNION ALL SELECT 'uniqueness', round((1 - CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS DOUBLE) / count(*)) * 100, 2), CAST(0.25 AS DOUBLE) FROM t
 UNION ALL SELECT 'validity', round((1 - CAST((SELECT o FROM v) AS DOUBLE) / count(*)) * 100, 2), CAST(0.20 AS DOUBLE) FROM t
 UNION ALL SELECT 'consistency', CAST(100 AS DOUBLE), CAST(0.20 AS DOUBLE)""")
@@ -403,8 +406,8 @@ def quality_issues(spark, sf):
 
 @query("""SELECT * FROM (VALUES ('o_orderkey', 'drop', 'All values unique - looks like an identifier column.')) v("column", action, detail)""")
 def feature_drop_recommendations(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").withColumnRenamed("o_orderkey", "o_key").withColumnRenamed("o_key", "o_orderkey")
-    o = o.withColumn("o_orderkey", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")))
+    """With the key as text, so that it is told as an identifier by its values."""
+    o = table(spark, sf, "orders").withColumn("o_orderkey", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")))
     found = R.FeatureRecommender().recommend(o, "o_orderstatus").drop_columns
     return spark.createDataFrame([(r["column"], "drop", r["reason"]) for r in found], "column string, action string, detail string")
 
@@ -412,14 +415,14 @@ def feature_drop_recommendations(spark, sf):
 @query("""SELECT 'o_orderstatus' AS "column", CASE WHEN count(DISTINCT o_orderstatus) <= 2 THEN 'binary' WHEN count(DISTINCT o_orderstatus) <= 10 THEN 'one_hot' ELSE 'ordinal' END AS strategy, count(DISTINCT o_orderstatus) AS unique_count FROM orders
 UNION ALL SELECT 'o_orderpriority', CASE WHEN count(DISTINCT o_orderpriority) <= 2 THEN 'binary' WHEN count(DISTINCT o_orderpriority) <= 10 THEN 'one_hot' ELSE 'ordinal' END, count(DISTINCT o_orderpriority) FROM orders""")
 def feature_encode_recommendations(spark, sf):
-    found = R.FeatureRecommender().recommend(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")).encode_columns
+    found = R.FeatureRecommender().recommend(table(spark, sf, "orders")).encode_columns
     return spark.createDataFrame([(r["column"], r["strategy"], r["unique_count"]) for r in found], "column string, strategy string, unique_count long")
 
 
 @query(f"""SELECT name AS "column", CASE WHEN outlier_percentage >= 5 THEN 'robust' WHEN abs(skew) >= 1 THEN 'min_max' ELSE 'standard' END AS strategy
-FROM ({outlier_sql(LINEITEM_NUMBERS, 'lineitem', IQR.replace('$t', 'lineitem'))}) o JOIN (SELECT name AS n, skew FROM ({numeric_sql(LINEITEM_NUMBERS, 'lineitem')})) s ON o.name = s.n""")
+FROM ({outlier_sql([*LINEITEM_KEYS, *LINEITEM_NUMBERS], 'lineitem', IQR.replace('$t', 'lineitem'))}) o JOIN (SELECT name AS n, skew FROM ({numeric_sql([*LINEITEM_KEYS, *LINEITEM_NUMBERS], 'lineitem')})) s ON o.name = s.n""")
 def feature_scale_recommendations(spark, sf):
-    found = R.FeatureRecommender().recommend(table(spark, sf, "lineitem").select(*LINEITEM_NUMBERS)).scale_columns
+    found = R.FeatureRecommender().recommend(table(spark, sf, "lineitem")).scale_columns
     return spark.createDataFrame([(r["column"], r["strategy"]) for r in found], "column string, strategy string")
 
 

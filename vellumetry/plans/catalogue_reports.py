@@ -184,12 +184,12 @@ def eda_strong_pairs(spark, sf):
 
 # ---- scores ---------------------------------------------------------------------------------
 
-SPACED = " + ".join(f"CAST(count(*) FILTER (WHERE regexp_matches({c}, '^\\s|\\s$')) > 0 OR count(DISTINCT {c}) <= 1 AS INT)" for c in ("lang", "source"))
+SPACED = " + ".join(f"CAST(count(*) FILTER (WHERE regexp_matches({c}, '^\\s|\\s$')) > 0 OR count(DISTINCT {c}) <= 1 AS INT)" for c in ("text", "lang", "source"))
 CONSTANT = " + ".join(f"CAST(count(DISTINCT {c}) <= 1 AS INT)" for c in ("doc_id", "n_chars", "quality", "toxic"))
 
 
 @query(f"""WITH f AS (SELECT count(*) AS n, {' + '.join(f'count(*) - count({c})' for c in LABELLED_COLUMNS)} AS missing, (SELECT count(*) FROM (SELECT DISTINCT * FROM {LABELLED})) AS u, {SPACED} + {CONSTANT} AS bad FROM {LABELLED}),
-s AS (SELECT 1 - CAST(missing AS DOUBLE) / (n * 6) AS c, 1 - CAST(n - u AS DOUBLE) / n AS q, 1 - CAST(bad AS DOUBLE) / 6 AS e FROM f), r AS (SELECT *, round(100 * (0.5 * c + 0.3 * q + 0.2 * e), 1) AS score FROM s)
+s AS (SELECT 1 - CAST(missing AS DOUBLE) / (n * {len(LABELLED_COLUMNS)}) AS c, 1 - CAST(n - u AS DOUBLE) / n AS q, 1 - CAST(bad AS DOUBLE) / {len(LABELLED_COLUMNS)} AS e FROM f), r AS (SELECT *, round(100 * (0.5 * c + 0.3 * q + 0.2 * e), 1) AS score FROM s)
 SELECT score, {GRADE.format('score')} AS grade, round(c * 100, 2) AS completeness, round(q * 100, 2) AS uniqueness, round(e * 100, 2) AS consistency FROM r""")
 def quality_score_b(spark, sf):
     r = scores.QualityAnalyzer().analyze(labelled(spark, sf))
@@ -304,10 +304,11 @@ def duplicate_columns(spark, sf):
     return rows(spark, duplicates.duplicate_columns(p), "kept string, dropped string")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size, p_size AS size_copy, p_size * 2 AS twice FROM part) SELECT 'p_size' AS kept_column, 'size_copy' AS dropped_column, 'exact_duplicate' AS reason FROM p HAVING bool_and(p_size = size_copy)
-UNION ALL SELECT 'p_size', 'twice', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_size, twice)) >= 0.95 AND NOT bool_and(p_size = twice) UNION ALL SELECT 'p_partkey', 'p_size', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_partkey, p_size)) >= 0.95""")
+@query("""WITH p AS (SELECT *, p_size AS size_copy, p_size * 2 AS twice FROM part) SELECT 'p_size' AS kept_column, 'size_copy' AS dropped_column, 'exact_duplicate' AS reason FROM p HAVING bool_and(p_size = size_copy)
+UNION ALL SELECT 'p_size', 'twice', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_size, twice)) >= 0.95 AND NOT bool_and(p_size = twice) UNION ALL SELECT 'p_partkey', 'p_size', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_partkey, p_size)) >= 0.95
+UNION ALL SELECT 'p_partkey', 'p_retailprice', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_partkey, p_retailprice)) >= 0.95 UNION ALL SELECT 'p_size', 'p_retailprice', 'near_duplicate_correlation' FROM p HAVING abs(corr(p_size, p_retailprice)) >= 0.95 AND abs(corr(p_partkey, p_retailprice)) < 0.95""")
 def redundant_features(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_size").alias("size_copy"), (F.col("p_size") * 2).alias("twice"))
+    p = table(spark, sf, "part").withColumns({"size_copy": F.col("p_size"), "twice": F.col("p_size") * 2})
     found = correlation.FeatureCorrelationAnalyzer().analyze(p).redundant_columns
     return rows(spark, [(r["kept_column"], r["dropped_column"], r["reason"]) for r in found], "kept_column string, dropped_column string, reason string")
 
