@@ -206,13 +206,25 @@ def test_stream(spark, tmp_path):
     assert [(r.row_count, r.v_missing, r.v_mean) for r in rows] == [(2, 1, 1.0), (1, 0, 5.0)]
 
 
-def test_large_tables_have_the_same_profile(people, monkeypatch):
-    from vellumetry.operators import profile as P
+@pytest.mark.parametrize("accuracy", [50_000, 4])
+def test_profile_quartiles_equal_counted_ones(people, monkeypatch, accuracy):
+    """Against Spark's own exact percentile; rough sketches may cost time, not accuracy."""
+    from pyspark.sql import functions as F
 
-    small = P.TableProfile(people).numeric
-    monkeypatch.setattr(P, "LARGE", 1)
-    large = P.TableProfile(people).numeric
-    assert all(abs(small[c][k] - large[c][k]) < 1e-9 for c in small for k in ("q1", "median", "q3", "outliers"))
+    from vellumetry.functions import expressions as X
+    from vellumetry.operators import profile as P
+    from vellumetry.operators import ranks
+
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    got = P.TableProfile(people).numeric
+    assert got
+    for c, r in got.items():
+        v = people.select(X.finite(X.number(people, c)).alias("v")).where("v IS NOT NULL")
+        q = v.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+        assert all(abs(r[k] - x) < 1e-9 for k, x in zip(("q1", "median", "q3"), q))
+        reach = 1.5 * (q[2] - q[0])
+        beyond = v.where((F.col("v") < q[0] - reach) | (F.col("v") > q[2] + reach)).count()
+        assert r["outliers"] == (beyond if r["count"] >= 4 and reach else 0)
 
 
 def test_rows_wider_than_the_header_are_refused(spark, tmp_path):
