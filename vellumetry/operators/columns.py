@@ -199,7 +199,7 @@ def numeric_summary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     The quartiles are computed at once (ranks.quantile_values), the rest when asked for.
     """
     names = list(columns)
-    quartiles = quantile_values(df.select(*(X.finite(X.number(df, c)).alias(c) for c in names)))
+    quartiles = quantile_values(df.select(*(X.finite(X.number(df, c)).alias(c) for c in dict.fromkeys(names))))
 
     def stats(c: str) -> dict[str, Column]:
         v = X.finite(X.number(df, c))

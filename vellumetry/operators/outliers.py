@@ -27,7 +27,7 @@ def fences(df: DataFrame, columns: Iterable[str], method: str = "iqr", *, k: flo
     wide = lambda: F.lit(None).cast("double")
     names = list(columns)
     number = lambda c: X.finite(X.number(df, c)) if guarded else X.number(df, c)
-    quartiles = quantile_values(df.select(*(number(c).alias(c) for c in names)), (0.25, 0.75)) if method == "iqr" else {}
+    quartiles = quantile_values(df.select(*(number(c).alias(c) for c in dict.fromkeys(names))), (0.25, 0.75)) if method == "iqr" else {}
 
     def stats(c: str) -> dict[str, Column]:
         v = number(c)

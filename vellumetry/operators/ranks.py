@@ -90,7 +90,7 @@ def quantile_values(values: DataFrame, at: Iterable[float] = (0.25, 0.5, 0.75))
 
 def exact_quantiles(df: DataFrame, columns: Iterable[str], at: Iterable[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """name, q, value: quantiles with linear interpolation of finite numbers; columns without any give no rows."""
-    found = quantile_values(df.select(*(X.finite(X.number(df, c)).alias(c) for c in columns)), at)
+    found = quantile_values(df.select(*(X.finite(X.number(df, c)).alias(c) for c in dict.fromkeys(columns))), at)
     return df.sparkSession.createDataFrame([(c, q, x) for (c, q), x in found.items()], "name string, q double, value double")
 
 
