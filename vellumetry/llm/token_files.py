@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumetry.llm.common import AtomicFile, read_file, read_table, work_dir
-from vellumetry.llm.pieces import PieceEncoder
+from vellumetry.llm.pieces import PieceEncoder, piece_ends
 
 END_ID = 2
 #: Documents encoded at a time; bounds the memory of their pieces.
 CHUNK = 512
 #: Pieces that a worker remembers. Tasks of one worker share them: a memo for each task costs a half more.
-MEMO = 600_000
+MEMO = 1_000_000
+#: New pieces that the library gets as one text.
+JOINED = 500
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
@@ -63,14 +65,15 @@ def library_encoder(path: str, dtype: str) -> PieceEncoder:
         return (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))
 
     def encode_pieces(pieces: list[str]):
-        """All pieces as one text, cut where the ids' bytes add up to a piece; one by one if a token crosses a cut."""
-        ids = np.asarray(next(iter(encode_many([" " + " ".join(pieces)]))))
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        """Pieces joined to texts, cut where the ids' bytes add up to a piece; None if a token crosses a cut."""
+        joined = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.asarray(x, "i8") for x in encode_many(joined)])
+        ends = piece_ends("".join(joined), len(pieces))
         covered = np.cumsum(lengths[ids])
         at = np.searchsorted(covered, ends) + 1
         if len(covered) == 0 or at[-1] > len(covered) or not np.array_equal(covered[at - 1], ends):
-            return encode_many([" " + p for p in pieces])
-        return np.split(ids, at[:-1])
+            return None
+        return ids, at
 
     return PieceEncoder(encode_many, dtype, MEMO, encode_pieces=encode_pieces)
 
