@@ -89,3 +89,28 @@ def test_a_batch_does_not_walk_the_memo():
         coder.encode([f"a b{i}"])
         took.append(time.perf_counter() - began)
     assert min(took) < 0.003
+
+
+def test_many_folds_are_those_of_single_words():
+    rng = random.Random(3)
+    tokens = {bytes([i]) for i in range(256)} | {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(150)}
+    order = sorted(tokens)
+    rng.shuffle(order)  # ranks that no training gave: longer tokens before their parts, tokens that merges don't reach
+    ranks = {t: i for i, t in enumerate(order)}
+    folder = bpe.Folder(ranks)
+    assert folder.unreached
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([1, 2, 3, 7, 20, 40, 64, 65, 200]))) for _ in range(3000)]
+    words = [w for w in words if w not in folder.unreached]
+    ids, counts = folder.fold(np.frombuffer(b"".join(words), "u1"), np.cumsum([len(w) for w in words]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [bpe.fold_merges(w, ranks) for w in words]
+
+
+def test_pieces_are_not_folded_one_by_one(monkeypatch, library):
+    calls = []
+    fold = bpe.fold_merges
+    monkeypatch.setattr(bpe, "fold_merges", lambda *a: calls.append(a) or fold(*a))
+    text = "x " + " ".join(f"zq{chr(97 + i % 26)}x{i}é," for i in range(2000))
+    coder = bpe.Bpe(RANKS, PATTERN)
+    assert np.frombuffer(coder.encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+    assert len(calls) < 20

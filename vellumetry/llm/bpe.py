@@ -2,7 +2,8 @@
 
 ``fold_merges`` joins, in the bytes of one match of the pre-tokenizer's
 pattern, the neighbouring pair of least rank again and again (the leftmost of
-equal ones), until no pair is in the rank map. ``encode_documents`` does so
+equal ones), until no pair is in the rank map. ``Folder`` does the same for
+many matches at once, one merge of each in a round. ``encode_documents`` does so
 for the distinct pieces of the documents of a task and puts the texts together
 from the results; ``decode`` concatenates the binary pieces of ids.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumetry.llm.common import read_table
-from vellumetry.llm.pieces import PieceEncoder
+from vellumetry.llm.pieces import PieceEncoder, piece_ends
 
 #: A word of more bytes is folded with a heap, whose cost is not quadratic.
 LONG_WORD = 64
@@ -90,16 +91,135 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Folder:
+    """Folds many matches at once: arrays of matches of about equal length, each losing one part a round."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], "i4")
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, z = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and z is not None:
+                    keys.append(a << 32 | z)
+                    values.append(rank)
+        # open addressing: a pair stands at its hash's slot or the next free one
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, "i8")
+        self.values = np.full(len(self.keys), self.NONE, "i4")
+        left, value = np.array(keys, "i8"), np.array(values, "i4")
+        at = self._slot(left)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = left[free]
+            mine = self.keys[at] == left
+            self.values[at[mine]] = value[mine]
+            left, value, at = left[~mine], value[~mine], (at[~mine] + 1) % len(self.keys)
+        #: tokens that merges alone don't reach, which a whole match may still be
+        tokens = [t for t in ranks if 1 < len(t) <= LONG_WORD]
+        self.unreached: set[bytes] = set()
+        if tokens:
+            _, n = self.fold(np.frombuffer(b"".join(tokens), "u1"), np.cumsum([len(t) for t in tokens]))
+            self.unreached = {tokens[i] for i in np.flatnonzero(n > 1)}
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype("i8")
+
+    def pair_ranks(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs of ids make; NONE where there is none, or an id is negative."""
+        keys = a.astype("i8") << 32 | z
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], self.NONE)
+        todo = np.flatnonzero((found != keys) & (found != -1) & (a >= 0) & (z >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.keys)
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (found != -1)]
+        out[(a < 0) | (z < 0)] = self.NONE
+        return out
+
+    def _fold_block(self, parts: np.ndarray) -> np.ndarray:
+        """Rows of ids of bytes, -1 behind the last, to rows of ids of tokens."""
+        out = np.full_like(parts, -1)
+        rows, width = np.arange(len(parts)), parts.shape[1]
+        joined = self.pair_ranks(parts[:, :-1].reshape(-1), parts[:, 1:].reshape(-1)).reshape(len(parts), width - 1)
+        while True:
+            width = parts.shape[1]
+            at = joined.argmin(1) if width > 1 else np.zeros(len(parts), "i8")
+            least = joined[np.arange(len(parts)), at] if width > 1 else np.full(len(parts), self.NONE)
+            on = least != self.NONE
+            if not on.all():
+                out[rows[~on], :width] = parts[~on]
+                rows, parts, joined, at, least = rows[on], parts[on], joined[on], at[on], least[on]
+            if not len(rows):
+                return out
+            n = np.arange(len(rows))
+            parts[n, at] = least
+            keep = np.ones(parts.shape, bool)
+            keep[n, at + 1] = False
+            parts = parts[keep].reshape(len(rows), width - 1)
+            keep = np.ones(joined.shape, bool)
+            keep[n, at] = False
+            joined = joined[keep].reshape(len(rows), width - 2)
+            after = np.flatnonzero(at < width - 2)
+            joined[after, at[after]] = self.pair_ranks(parts[after, at[after]], parts[after, at[after] + 1])
+            before = np.flatnonzero(at > 0)
+            joined[before, at[before] - 1] = self.pair_ranks(parts[before, at[before] - 1], parts[before, at[before]])
+
+    def fold(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches, given their bytes one after the other and their ends; and how many each has."""
+        starts = np.append(0, ends[:-1])
+        lengths = ends - starts
+        counts = np.zeros(len(ends), "i8")
+        got = []
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 32), (32, LONG_WORD)):
+            all_rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for rows in (all_rows[i : i + 16_384] for i in range(0, len(all_rows), 16_384)):  # bounds the memory of a block
+                at = starts[rows, None] + np.arange(high)
+                parts = np.where(at < ends[rows, None], self.single[raw[np.minimum(at, len(raw) - 1)]], -1)
+                parts = self._fold_block(parts.astype("i4"))
+                counts[rows] = (parts >= 0).sum(1)
+                got.append((rows, parts[parts >= 0]))
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            ids = fold_merges(raw[starts[i] : ends[i]].tobytes(), self.ranks)
+            counts[i] = len(ids)
+            got.append((np.array([i]), np.array(ids, "i4")))
+        first = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), "i4")
+        for rows, ids in got:
+            n = counts[rows]
+            out[np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
+
+
+_folders: dict[str, Folder] = {}
+
+
+def worker_folder(path: str) -> Folder:
+    """The tables of one rank file, of a fixed size, for the tasks of a Python worker; another file's take their place."""
+    if path not in _folders:
+        _folders.clear()
+        _folders[path] = Folder(load_ranks(path))
+    return _folders[path]
+
+
 class Bpe:
     """Encoder and decoder of one rank file for one task, with memos of bounded size."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.ranks = load_ranks(path)
+        self.folder = worker_folder(path)
+        self.ranks = self.folder.ranks
         self.match = regex.compile(pattern).findall
         self.words: dict[str, list[int]] = {}
-        self.encoder = PieceEncoder(lambda texts: map(self.encode_one, texts))
+        self.encoder = PieceEncoder(lambda texts: map(self.encode_one, texts), encode_pieces=self.encode_pieces)
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.pieces[rank] = token
@@ -117,6 +237,24 @@ class Bpe:
             out += ids
         return out
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All pieces as one text, all matches of which are folded together; None if a match crosses pieces."""
+        if self.folder.single.min() < 0:
+            return None
+        joined = " " + " ".join(pieces)
+        words = self.match(joined)
+        if self.folder.unreached and not self.folder.unreached.isdisjoint(w.encode() for w in words):
+            return None
+        raw = np.frombuffer(joined.encode(), "u1")
+        chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        last = np.cumsum(np.fromiter(map(len, words), "i8", len(words)))
+        ends, cuts = chars[last], piece_ends(joined, len(pieces))
+        at = np.searchsorted(ends, cuts)
+        if last[-1] != len(joined) or not np.array_equal(ends[np.minimum(at, len(ends) - 1)], cuts):
+            return None
+        ids, counts = self.folder.fold(raw, ends)
+        return ids, np.cumsum(counts)[at]
+
     def close(self) -> None:
         self.words = {}
         self.encoder.close()
