@@ -75,3 +75,34 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
     assert os.path.isdir(tmp_path)
+
+
+def test_stages_bound_what_python_workers_and_files_take(spark, folder):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    for _, stage in P.STAGES:
+        if stage is P.mix_sources:  # no Python in it
+            continue
+        spark.conf.set(key, "64m")
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder)
+        assert spark.conf.get(key).rstrip("b") == str(4 << 20)
+    spark.conf.set(key, "1m")
+    P.bound_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_few_links_make_few_files(spark):
+    from vellumetry.llm.graph import connected_components
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = connected_components(spark.range(400).selectExpr("id a", "id - id % 4 b"))
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism < 64
+        assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 4) for i in range(400)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

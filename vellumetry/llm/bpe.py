@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumetry.llm.common import read_table
+from vellumetry.llm.common import read_table, release
 from vellumetry.llm.pieces import PieceEncoder, piece_ends
 
 #: A word of more bytes is folded with a heap, whose cost is not quadratic.
@@ -274,6 +274,7 @@ def encode_documents(df: DataFrame, ranks: str, pattern: str, *, keep_ids: bool
             yield from encode_all(bpe, batches)
         finally:
             bpe.close()
+            release()
 
     def encode_all(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

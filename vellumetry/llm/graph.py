@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each round rewrites the edge table and writes it to the shared storage, so
-lineage stays short and a lost executor costs one round at most. Nothing but
-two counters a round reaches the driver.
+lineage stays short and a lost executor costs one round at most. The rows of
+the round before tell in how many files. Nothing but two counters a round
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from vellumetry.llm.common import materialise
 
+#: Edges that make a task and a file of their own, about.
+EDGES = 50_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,11 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are allowed; nodes without an edge to another don't appear.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components")
-    summary = None
+    summary, n = None, edges.count()
     while True:
-        after = materialise(_star(_star(edges, True), False), "components")
+        after = materialise(_star(_star(edges, True), False).coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, n // EDGES)), "components")
         now = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        edges = after
+        edges, n = after, now.n
         if now == summary:
             break
         summary = now

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellumetry.llm.common import fresh, materialise, read_table, salted_join, utf8
+from vellumetry.llm.common import fresh, materialise, read_table, release, salted_join, utf8
 from vellumetry.llm.graph import connected_components
 
 SALTS = 32
@@ -203,6 +203,8 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 at = pa.array(at, mask=at < 0)
                 n = pa.array(np.bincount(doc, count, len(texts)).astype("i8"))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n.take(at), lists.take(at)], ["doc_id", "node", "n", "keys"])
+        signed.clear()
+        release()
 
     rows = docs.select("doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("node"), "t")
     return rows.mapInArrow(run, "doc_id long, node binary, n long, keys array<long>")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumetry.llm.common import materialise, read_table, utf8
+from vellumetry.llm.common import materialise, read_table, release, utf8
 
 STRIP = b".,;:!?\"'()[]{}*-_#$%&|<>"
 
@@ -391,7 +391,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), *, doc_id: str
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in sorted(sample)], "c string"))  # 2 * max_documents rows at most
     rows = texts.join(chosen, F.col("m") == F.col("c")).groupBy("m").agg(F.first("t").alias("t")).collect()
     rows.sort(key=lambda r: r.m)
-    return train([utf8(r.t) for r in rows], [sample[r.m] for r in rows], p)
+    texts, toxic = [utf8(r.t) for r in rows], [sample[r.m] for r in rows]
+    del rows
+    model = train(texts, toxic, p)
+    del texts
+    release()
+    return model
 
 
 def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str = "text", name: str = "score") -> DataFrame:
@@ -408,6 +413,8 @@ def score_documents(df: DataFrame, m: dict, p: Params = Params(), *, text: str =
             for lo, hi in chunks(texts):
                 out[lo:hi] = scorer.score([utf8(t) for t in texts[lo:hi]])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
+        del scorer
+        release()
 
     return df.mapInArrow(run, schema)
 
